@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import binary_output, decontaminate, secrets, sentencepieces
+from marlstone.llm import binary_output, decontaminate, quality, secrets, sentencepieces
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": decontaminate.query,
     "op7_secret_scan": secrets.query,
+    "op8_quality": quality.query,
     "op9_sentencepiece": sentencepieces.query,
     "op10_binary_output": binary_output.query,
 }
