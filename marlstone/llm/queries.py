@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import binary_output, decontaminate, neardup, quality, scoring, secrets, sentencepieces
+from marlstone.llm import binary_output, decontaminate, neardup, quality, scoring, secrets, sentencepieces, suffixes
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": scoring.query,
     "op2_minhash_neardup": neardup.query,
     "op3_decontamination": decontaminate.query,
+    "op4_suffix_dedup": suffixes.query,
     "op7_secret_scan": secrets.query,
     "op8_quality": quality.query,
     "op9_sentencepiece": sentencepieces.query,
