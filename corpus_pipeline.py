@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.llm import decontaminate, language, lines, neardup, sentencepieces
 from marlstone.llm.common import materialize
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language.stage),
+    ("line_dedup", lines.stage),
+    ("near_dedup", neardup.stage),
+    ("decontamination", decontaminate.stage),
+    ("sentencepiece", sentencepieces.stage),
+]
 
 #: No stage's whole result can be put in SQL (neural and automaton methods, a tokenizer library); tests hold it against brute force.
 ORACLE_SQL: str | None = None
@@ -16,4 +23,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -57,6 +57,28 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes not to be one of the columns'."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def beside(docs: DataFrame, text_col: str) -> Column:
+    """All columns but the text as one struct whose fields go by position, so that no name clashes."""
+    return F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col)).alias("rest")
+
+
+def put_back(out: DataFrame, docs: DataFrame, text_col: str, more: Column, name: str) -> DataFrame:
+    """The columns of docs from out's `rest` and `text`, and one more at the end."""
+    return out.select(*(F.col("text" if c == text_col else f"rest.c{k}").alias(c) for k, c in enumerate(docs.columns)), more.alias(free_name(docs, name)))
+
+
+def last(df: DataFrame) -> Column:
+    return F.col(f"`{df.columns[-1]}`")
+
+
 def sha256_hex(value: Column) -> Column:
     return F.sha2(value, 256)
 

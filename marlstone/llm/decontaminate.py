@@ -15,12 +15,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marlstone.llm.common import LOWER, UPPER, documents
+from marlstone.llm.common import LOWER, UPPER, beside, documents, last, put_back, ship
 
 WINDOW, BLOCK_WORDS = 10, 200_000
 #: A document is dropped when more than this share of its words is hit.
@@ -148,34 +148,43 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, id_co
         yield [(i, w) for i, w in items if w and i is not None]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_words, spans, items, longest): maximal hit spans of words as [first, last), the items in order of their text."""
+SPANS = T.ArrayType(T.ArrayType(T.LongType()))
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text_col: str = "text") -> DataFrame:
+    """All columns of docs, and a struct `found` of n_words, spans (maximal hit spans of words as [first, last)), items (in order of their
+    text) and longest."""
     spark = docs.sparkSession
-    rows = documents(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text string, n_words long, spans array<array<long>>, items array<string>, longest long"
-    rows = rows.select("doc_id", "text", *(F.lit(None).cast(t).alias(n) for n, t in (("n_words", "long"), ("spans", "array<array<long>>"), ("items", "array<string>"), ("longest", "long"))))
+    ship(spark)
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType())]
+    rows = docs.select(beside(docs, text_col), F.col(f"`{text_col}`").alias("text"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+    schema = T.StructType([rows.schema["rest"], rows.schema["text"], *fields])
     blocks = list(benchmark_blocks(benchmark, block_words)) or [[]]
     for handle in [spark.sparkContext.broadcast(items) for items in blocks]:
-        rows = rows.mapInPandas(_pass(handle, window), schema)
-    return rows
+        rows = rows.mapInArrow(_pass(handle, window), schema)
+    return put_back(rows, docs, text_col, F.struct(*(f.name for f in fields)), "found")
 
 
 def _pass(handle, window: int):
-    """One block's automaton over all documents; what earlier blocks found is kept."""
+    """One block's automaton over all documents; what earlier blocks found is kept. Other columns pass through."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(handle.value, window)
-        for b in batches:
-            n, spans, items, longest = [], [], [], []
-            for t, s, i, m in zip(b["text"], b["spans"], b["items"], b["longest"], strict=True):
-                ws = words(t)
-                new_s, new_i, new_m = automaton.match(ws)
-                n.append(len(ws))
-                spans.append([list(x) for x in (_union([tuple(x) for x in s], new_s) if s is not None else new_s)])
-                items.append(sorted(new_i.union(i) if i is not None else new_i))
-                longest.append(new_m if pd.isna(m) else max(int(m), new_m))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "n_words": n, "spans": spans, "items": items, "longest": longest})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                n, spans, items, longest = [], [], [], []
+                for t, s, i, m in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "items", "longest")), strict=True):
+                    ws = words(t)
+                    new_s, new_i, new_m = automaton.match(ws)
+                    n.append(len(ws))
+                    spans.append([list(x) for x in (_union([tuple(x) for x in s], new_s) if s is not None else new_s)])
+                    items.append(sorted(new_i.union(i or ())))
+                    longest.append(max(m or 0, new_m))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("rest"), b.column("text"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())],
+                    names=["rest", "text", "n_words", "spans", "items", "longest"],
+                )
 
     return run
 
@@ -190,32 +199,43 @@ def _union(a: list, b: list) -> list:
     return out
 
 
-def cut_spans(text: str, spans: np.ndarray) -> str:
+def cut_spans(text: str, spans: list) -> str:
     """The text without the words of the spans; what stands between two removed words goes with them."""
-    if not len(spans):
-        return text
     at = [m.span() for m in _WORD.finditer(text)]
-    out, last = [], 0
+    out, last_ = [], 0
     for a, z in spans:
-        out.append(text[last : at[int(a)][0]])
-        last = at[int(z) - 1][1]
-    return "".join(out) + text[last:]
+        out.append(text[last_ : at[int(a)][0]])
+        last_ = at[int(z) - 1][1]
+    return "".join(out) + text[last_:]
+
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [cut_spans(t, s) if s else t for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(texts, pa.string()), b.column("hit")], names=["rest", "text", "hit"])
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE_LIMIT, window: int = WINDOW) -> DataFrame:
-    """(doc_id, text, removed_words) without hit spans; documents more than `coverage` of whose words are hit are left out."""
-    found = find(docs, benchmark, window)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
-    kept = found.withColumn("removed_words", hit).where((F.col("removed_words") == 0) | (F.col("removed_words") <= coverage * F.col("n_words")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [cut_spans(t, s) for t, s in zip(b["text"], b["spans"], strict=True)], "removed_words": b["removed_words"]})
+def _hit(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
 
-    return kept.mapInPandas(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, text string, removed_words long")
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE_LIMIT, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """All columns of docs, the text without its hit spans, and `removed_words`; documents more than `coverage` of whose words are hit go."""
+    found = find(docs, benchmark, window, text_col=text_col)
+    f = last(found)
+    kept = found.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct(f.n_words, f.spans, _hit(f.spans).alias("hit")).alias(found.columns[-1])).where((f.hit == 0) | (f.hit <= coverage * f.n_words))
+    rows = kept.select(beside(docs, text_col), F.col(f"`{text_col}`").alias("text"), f.spans.alias("spans"), f.hit.alias("hit"))
+    cut = rows.mapInArrow(_cut, T.StructType([rows.schema["rest"], rows.schema["text"], rows.schema["hit"]]))
+    return put_back(cut, docs, text_col, F.col("hit"), "removed_words")
 
 
 def query(spark, sf: str) -> DataFrame:
-    f = find(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
-    return f.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.col("longest").alias("longest_match"))
+    d = find(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    f, n_hit = last(d), _hit(last(d).spans)
+    return d.select("doc_id", f.n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), f.longest.alias("longest_match"))
+
+
+def stage(spark, docs: DataFrame, sf: str) -> DataFrame:
+    """Pipeline: benchmark passages are cut out, and documents that mostly consist of them go."""
+    d = decontaminate(docs, spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

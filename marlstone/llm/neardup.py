@@ -134,3 +134,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, i
 
 def query(spark, sf: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"), shingle=4)
+
+
+def stage(spark, docs: DataFrame, sf: str) -> DataFrame:
+    """Pipeline: of each group of near-duplicates the document with the smallest id stays."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")

@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import binary_output, decontaminate, neardup, quality, scoring, secrets, sentencepieces, suffixes
+from marlstone.llm import binary_output, decontaminate, language, lines, neardup, quality, scoring, secrets, sentencepieces, suffixes
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": scoring.query,
     "op2_minhash_neardup": neardup.query,
     "op3_decontamination": decontaminate.query,
     "op4_suffix_dedup": suffixes.query,
+    "op5_line_dedup": lines.query,
+    "op6_language_id": language.query,
     "op7_secret_scan": secrets.query,
     "op8_quality": quality.query,
     "op9_sentencepiece": sentencepieces.query,
     "op10_binary_output": binary_output.query,
 }
+#: More queries over the same operators.
+LLM_QUERIES["pages_language_id"] = language.pages_query
 LLM_ORACLES: dict[str, str] = {}

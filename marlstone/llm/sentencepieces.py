@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marlstone.llm.common import documents
 
@@ -193,3 +194,11 @@ def query(spark, sf: str) -> DataFrame:
     import public_tokenizers
 
     return encode_documents(spark.read.parquet(f"{sf}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
+def stage(spark, docs: DataFrame, sf: str) -> DataFrame:
+    """Pipeline: ids of each document, and the digest of what they decode to."""
+    import public_tokenizers
+
+    d = encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return d.select("doc_id", "n_tokens", F.col("ids").cast("array<int>").alias("ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
