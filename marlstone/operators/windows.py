@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.values import order_imbalance, simple_return
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("close_time_ms")
+def by_symbol() -> WindowSpec:
+    """Each symbol's rows in order of time. A function, as windows need a running session."""
+    return Window.partitionBy("symbol").orderBy("close_time_ms")
 
 
 def rolling_zscore(value: Column, over: WindowSpec, window: int = 168, min_periods: int = 12) -> Column:
@@ -24,7 +26,7 @@ def realized_vol(ret: Column, over: WindowSpec, window: int = 24, min_periods: i
 
 
 def lagged_returns(bars: DataFrame, lags: dict[str, int]) -> DataFrame:
-    return bars.withColumns({name: simple_return(F.col("close"), F.lag("close", k).over(BY_SYMBOL)) for name, k in lags.items()})
+    return bars.withColumns({name: simple_return(F.col("close"), F.lag("close", k).over(by_symbol())) for name, k in lags.items()})
 
 
 def bar_features(bars: DataFrame) -> DataFrame:
@@ -32,11 +34,11 @@ def bar_features(bars: DataFrame) -> DataFrame:
     out = lagged_returns(bars, {"ret1": 1, "ret4": 4, "ret24": 24})
     out = out.withColumns({
         "order_imb": order_imbalance(F.col("taker_buy_volume"), F.col("volume")),
-        "rv24": realized_vol(F.col("ret1"), BY_SYMBOL),
-        "next_close": F.lead("close").over(BY_SYMBOL),
-        "next_close_time_ms": F.lead("close_time_ms").over(BY_SYMBOL),
+        "rv24": realized_vol(F.col("ret1"), by_symbol()),
+        "next_close": F.lead("close").over(by_symbol()),
+        "next_close_time_ms": F.lead("close_time_ms").over(by_symbol()),
     })
-    return out.withColumns({f"z_{name}": rolling_zscore(F.col(name), BY_SYMBOL) for name in ("ret1", "ret4", "ret24", "order_imb", "rv24")})
+    return out.withColumns({f"z_{name}": rolling_zscore(F.col(name), by_symbol()) for name in ("ret1", "ret4", "ret24", "order_imb", "rv24")})
 
 
 def last_before(value: Column, over: WindowSpec) -> Column:
