@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from marlstone.llm.common import beside, last, materialize, put_back, ship
 
 BUCKETS, SHARE, EVIDENCE, LEAST = 1 << 13, 0.005, 60, 0.5
-UNKNOWN, UNKNOWN_PRIOR, SMOOTH = "und", 1e-3, 20.0
+UNKNOWN, UNKNOWN_PRIOR, SMOOTH = "und", 1e-9, 20.0
 BLOCK = 1 << 18
 RESULT = ("text_language", "language", "posterior", "letters", "accepted")
 #: Letters are a-z and all bytes from 128 on; other bytes are one blank.
@@ -132,14 +132,16 @@ def _counts(decided: DataFrame, by: list[str], k: int) -> DataFrame:
 
 
 def host_priors(decided: DataFrame, k: int, smooth: float = SMOOTH) -> DataFrame:
-    """(suffix, domain, host, prior): probabilities per class, each level's counts smoothed by the prior of the level above."""
+    """(suffix, domain, host, prior): probabilities per class, each level's counts smoothed by the prior of the level above. That of UNKNOWN is
+    the same everywhere: a short text that only looks unknown is no evidence about its host."""
     whole = _counts(decided, [], k).first()
     prior = [(1 - UNKNOWN_PRIOR) * (whole[f"n{i}"] + 1.0) / (whole["n"] - whole[f"n{k - 1}"] + k - 1) for i in range(k - 1)] + [UNKNOWN_PRIOR]
     levels, above = ["suffix", "domain", "host"], None
     for depth in range(1, 4):
         c = _counts(decided, levels[:depth], k)
         c = c.withColumn("prior", F.array(*map(F.lit, prior))) if above is None else c.join(above, levels[: depth - 1])
-        above = c.select(*levels[:depth], F.array(*((F.col(f"n{i}") + smooth * F.col("prior")[i]) / (F.col("n") + smooth) for i in range(k))).alias("prior"))
+        known = F.col("n") - F.col(f"n{k - 1}") + smooth
+        above = c.select(*levels[:depth], F.array(*((F.col(f"n{i}") + smooth * F.col("prior")[i]) / known for i in range(k - 1)), F.lit(UNKNOWN_PRIOR)).alias("prior"))
     return above
 
 
