@@ -21,6 +21,8 @@ def merge_bars(spark: SparkSession, batch: DataFrame, table: str, batch_id: int)
             raise
         new.write.partitionBy("day").parquet(table)
         return
+    if spark.sparkContext.getCheckpointDir() is None and spark.conf.get("spark.checkpoint.dir", None) is None:
+        spark.sparkContext.setCheckpointDir(f"{table}_checkpoint")  # beside the table: a folder that all machines see
     touched = old.join(new.select("day").distinct(), "day", "left_semi").unionByName(new)
     merged = keep_last(touched, ["symbol", "close_time_ms"], [F.col("batch")]).checkpoint()
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(table)

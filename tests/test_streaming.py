@@ -5,8 +5,6 @@ from marlstone.streaming.accumulate import accumulate, windowed_bars
 
 def test_accumulation_replaces_touched_days_only_and_repeats_change_nothing(spark, tmp_path):
     src, table, check = (str(tmp_path / n) for n in ("in", "table", "check"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(str(tmp_path / "cp"))
     one = B.frame(spark, B.make("BTCUSDT", 30))
     one.coalesce(1).write.mode("append").parquet(src)
     stream = lambda: spark.readStream.schema(one.schema).parquet(src)
