@@ -29,8 +29,13 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOW = str.maketrans(UPPER, LOWER)
 
 
+def _lowered(text: str) -> str:
+    """A-Z lowered; every character keeps its place."""
+    return text.lower() if text.isascii() else text.translate(_LOW)
+
+
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.translate(_LOW) if not text.isascii() else text.lower()) if text else []
+    return _WORD.findall(_lowered(text)) if text else []
 
 
 class Automaton:
@@ -201,7 +206,7 @@ def _union(a: list, b: list) -> list:
 
 def cut_spans(text: str, spans: list) -> str:
     """The text without the words of the spans; what stands between two removed words goes with them."""
-    at = [m.span() for m in _WORD.finditer(text)]
+    at = [m.span() for m in _WORD.finditer(_lowered(text))]
     out, last_ = [], 0
     for a, z in spans:
         out.append(text[last_ : at[int(a)][0]])

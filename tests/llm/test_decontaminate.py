@@ -79,6 +79,13 @@ def test_longest_match_and_limits(spark, items):
     assert longest == {1: 40, 2: 40, 3: 9, 4: 0, 5: 0}
 
 
+def test_cut_takes_upper_case_words_whole(spark):
+    item = "Alpha BETA Gamma delta EPSILON zeta Eta THETA iota Kappa"
+    docs = make(spark, [(1, f"Keep THIS Étude ÉCOLE {item.upper()}, and This Tail OF ÉA it. " + "More Words HERE. " * 9)])
+    got = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).first()
+    assert got.text == "Keep THIS Étude ÉCOLE , and This Tail OF ÉA it. " + "More Words HERE. " * 9 and got.removed_words == 10
+
+
 def test_edges(spark, empty, clashing, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     none = bench.where("item_id < 0")
