@@ -34,7 +34,7 @@ from marlstone.llm.common import documents, new_path
 
 BLOCK, SEGMENT_IDS, PERCENTILE = 1024, 1_000_000, 0.9
 #: Remembered encodings of space-delimited chunks in one Python worker.
-CACHE = 600_000
+CACHE = 300_000
 END_ID = 0
 SEGMENTS = "shard int, segment int, start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 

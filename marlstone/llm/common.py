@@ -35,9 +35,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most rows and bytes of an Arrow batch: whole texts go to Python, so batches of rows alone would have no bound.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def _number(value: str) -> int:
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    v = value.lower().removesuffix("b")
+    return int(v[:-1]) << units[v[-1]] if v and v[-1] in units else int(v or 0)
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that tasks can import it wherever they run."""
+    """Sends this package to the executors once per application, so that tasks can import it wherever they run, and lowers the session's
+    Arrow batches to BATCH where they are larger."""
     sc = spark.sparkContext
+    for key, most in BATCH.items():
+        if not 0 < _number(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
     if getattr(sc, "_marlstone_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -34,6 +34,8 @@ ROUNDS = ((0,), (1, 2, 3), tuple(range(4, 16)))
 FREQUENT = 1 << 19
 #: Most distinct words a task counts before it hands them on; tokens in one call of the network.
 HELD, TOKENS = 2_000_000, 2_000_000
+#: Bytes of text that the scoring pass takes at once.
+SLICE = 12_000_000
 RATES = (0.02, 0.01, 0.006)
 #: A task with few tokens goes over them again until it has made as many updates.
 UPDATES = 40
@@ -114,12 +116,19 @@ def with_ends(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return out, word, n + 1
 
 
-def _slices(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Parts of a batch of some 12 million bytes, or one longer text."""
-    size = b["text"].str.len().to_numpy(dtype=np.int64)
-    part = np.cumsum(size) // 12_000_000
-    for k in np.unique(part):
-        yield b[part == k]
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of several batches together, some SLICE bytes or one batch of more: many texts at once keep the network's lanes full."""
+    held, size = [], 0
+    for b in batches:
+        if not len(b):
+            continue
+        held.append(b)
+        size += int(b["text"].str.len().sum())
+        if size >= SLICE:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def _train(lexicon, params, rate: float):
@@ -133,16 +142,15 @@ def _train(lexicon, params, rate: float):
             for _ in net.run(ids, lengths, True):
                 pass
 
-        for b in batches:
-            for part in _slices(b):
-                ks, n = keys(list(part["text"]))
-                held.append(lex.ids_of(ks, lex.find(ks)))
-                ns.append(n)
-                size += len(ks) + len(n)
-                seen += len(ks) + len(n)
-                if size >= TOKENS:
-                    learn()
-                    held, ns, size = [], [], 0
+        for part in _slices(batches):
+            ks, n = keys(list(part["text"]))
+            held.append(lex.ids_of(ks, lex.find(ks)))
+            ns.append(n)
+            size += len(ks) + len(n)
+            seen += len(ks) + len(n)
+            if size >= TOKENS:
+                learn()
+                held, ns, size = [], [], 0
         while size:
             learn()
             if net.steps >= UPDATES:
@@ -174,33 +182,32 @@ def _score(lexicon, params, tails: tuple[np.ndarray, np.ndarray], ends: int, tot
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex, net = lexicon.value, Network(recurrent.unflat(params.value))
         mass = np.log10(tails[0] + 0.5 * (tails[1] + 1))
-        for b in batches:
-            for part in _slices(b):
-                ks, n = keys(list(part["text"]))
-                at = lex.find(ks)
-                ids, word, lengths = with_ends(lex.ids_of(ks, at), n)
-                lp = np.empty(len(ids))
-                for place, x in net.run(ids, lengths, False):
-                    lp[place] = x
-                lp /= LN10
-                base = np.full(len(ids), np.log10((ends + 0.5) / total))
-                known = np.full(len(ids), ends > 0)
-                seen = at >= 0
-                own = np.where(seen, np.log10((lex.counts[at] if len(lex.counts) else 0) + 0.5), 0.0)
-                base[word] = own - np.log10(total)
-                known[word] = seen
-                tail = ids >= HEAD
-                lp[tail] -= mass[ids[tail] - HEAD]
-                lp[word] += np.where(ids[word] >= HEAD, own, 0.0)
-                first = np.cumsum(lengths) - lengths
-                out = {"doc_id": part["doc_id"].values, "held_out": part["held_out"].values, "n_tokens": lengths}
-                for name, v in (("n_known", known.astype(np.int64)), ("base_score", base), ("score", lp)):
-                    out[name] = np.add.reduceat(v, first)
-                owner = np.repeat(np.arange(len(n)), n)[~seen]
-                away = ks[~seen].view(np.int64)
-                cut = np.searchsorted(owner, np.arange(len(n) + 1))
-                rest = [np.unique(away[i:j], return_counts=True) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pd.DataFrame(out | {"rest": [r[0] for r in rest], "times": [r[1] for r in rest]})
+        for part in _slices(batches):
+            ks, n = keys(list(part["text"]))
+            at = lex.find(ks)
+            ids, word, lengths = with_ends(lex.ids_of(ks, at), n)
+            lp = np.empty(len(ids))
+            for place, x in net.run(ids, lengths, False):
+                lp[place] = x
+            lp /= LN10
+            base = np.full(len(ids), np.log10((ends + 0.5) / total))
+            known = np.full(len(ids), ends > 0)
+            seen = at >= 0
+            own = np.where(seen, np.log10((lex.counts[at] if len(lex.counts) else 0) + 0.5), 0.0)
+            base[word] = own - np.log10(total)
+            known[word] = seen
+            tail = ids >= HEAD
+            lp[tail] -= mass[ids[tail] - HEAD]
+            lp[word] += np.where(ids[word] >= HEAD, own, 0.0)
+            first = np.cumsum(lengths) - lengths
+            out = {"doc_id": part["doc_id"].values, "held_out": part["held_out"].values, "n_tokens": lengths}
+            for name, v in (("n_known", known.astype(np.int64)), ("base_score", base), ("score", lp)):
+                out[name] = np.add.reduceat(v, first)
+            owner = np.repeat(np.arange(len(n)), n)[~seen]
+            away = ks[~seen].view(np.int64)
+            cut = np.searchsorted(owner, np.arange(len(n) + 1))
+            rest = [np.unique(away[i:j], return_counts=True) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            yield pd.DataFrame(out | {"rest": [r[0] for r in rest], "times": [r[1] for r in rest]})
 
     return run
 

@@ -30,7 +30,7 @@ SPACE = "▁"
 #: Fixed values of the model format: piece types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Remembered words in one Python worker.
-CACHE = 600_000
+CACHE = 300_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
