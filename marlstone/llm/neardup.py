@@ -5,10 +5,11 @@ value of the set are kept: two values of a signature for one evaluation. The pro
 similarity. BANDS bands of ROWS values, half of them minima, half maxima, and each value of a band from a different function, make candidates;
 a pair at similarity 0.8 has no band in common with a probability of (1 - 0.8 ** 5) ** 40 = 1.3e-7.
 
-Documents with the same set are one class and are compared once. In each bucket every class is first compared with the bucket's least class.
-What that joins is one component; then, in buckets that still hold several components, classes of different components are compared: members
-that are connected already need no further link, so a large group of copies costs its size and not its square. All candidates are confirmed
-on their full sets.
+Documents with the same set are one class and are compared once. In each bucket every class is first compared with the class that meets most
+others in its buckets: the original of a group of copies, if it is there. What that joins is one component; then, in buckets that still hold
+several components, classes of different components are compared: members that are connected already need no further link. Shingles that
+no other class of these buckets has bound what a class can share, which rules out nearly all of them before any pair is made; so a large group
+of copies costs its size and not its square. All candidates are confirmed on their full sets.
 
 Null, empty and blank texts have no shingles and no links; a text of fewer words than SHINGLE is one shingle. Rows with the same doc_id are one
 node. Rows with a null id have a null component and are kept. Other columns, whatever their names, play no part.
@@ -99,6 +100,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", common.alias("common"), F.size("x").alias("nx"), F.size("y").alias("ny")).where(100 * F.col("common") >= percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("a", "b")
 
 
+def _open_pairs(placed: DataFrame, leads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that could still be linked, from buckets whose classes (key, cls, n, component) are in several components.
+
+    `own` shingles of a class are in no other class of these buckets, so it has at most n - own in common with any of them, and its partner
+    can't be larger than limit = 100 (n - own) / percent - own. A class with limit < n needs a smaller partner, and two of those can't be
+    partners. So of each bucket only classes stay whose limit reaches its smallest class, or whose size is in reach of another's limit."""
+    keys = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+    rest = materialize(placed.join(keys, "key", "left_semi").join(leads.select("key", F.col("lead.cls").alias("lead")), "key").where("cls <> lead").select("key", "cls", "n", "component"), "open-buckets")
+    items = sets.join(rest.select("cls").distinct(), "cls", "left_semi").select(F.xxhash64("cls").alias("c"), F.explode("items").alias("i")).select("c", F.hash("i").alias("i"))
+    single = items.groupBy("i").agg(F.min("c").alias("c"), F.max("c").alias("d")).where("c = d").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
+    rest = rest.withColumn("c", F.xxhash64("cls")).join(single, "c", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    rest = rest.withColumn("limit", F.floor((100 * (F.col("n") - F.col("own"))) / percent) - F.col("own")).where(100 * F.col("limit") >= percent * F.col("n"))
+    rest = materialize(rest.drop("c", "own"), "open-classes")
+    free = F.col("limit") >= F.col("n")
+    reach = rest.groupBy("key").agg(
+        F.min(F.when(free, F.col("n"))).alias("least_free"), F.max(F.when(~free, F.col("limit"))).alias("reach"), F.min(F.when(free, F.col("component"))).alias("f0"), F.max(F.when(free, F.col("component"))).alias("f1")
+    )
+    live = rest.join(reach, "key").where(F.when(free, (F.col("f0") != F.col("f1")) | (F.col("n") <= F.col("reach"))).otherwise(F.col("limit") >= F.col("least_free")))
+    one = materialize(live.select("key", "cls", "n", "component", "limit", free.alias("free")), "open-rest")
+    two = one.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"), F.col("limit").alias("limit_b"), F.col("free").alias("free_b"))
+    return one.join(two, "key").where("component < d and m <= limit and n <= limit_b and (free or free_b)").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     rows = documents(docs, id_col, text_col)
@@ -106,23 +130,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, i
     live = signed.where("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     banded = classes.select("cls", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("cls").alias("lead"), F.min_by("n", "cls").alias("lead_n")).where("members > 1").drop("members")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(banded.join(shared, "key"), "buckets")
+    weights = members.groupBy("cls").agg(F.sum("size").alias("weight"))
+    members = materialize(members.drop("size").join(weights, "cls"), "weighted-buckets")
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    wanted = members.select("cls").distinct().join(classes.select("cls", "rep"), "cls")
+    wanted = weights.select("cls").join(classes.select("cls", "rep"), "cls")
     texts = rows.withColumn("rep", F.col("doc_id").cast("long")).join(wanted.select("rep").distinct(), "rep", "left_semi")
     sets = materialize(texts.mapInPandas(_sets(shingle), "cls string, items array<long>").dropDuplicates(["cls"]), "sets")
 
-    stars = members.where("cls <> lead").where(near(F.col("n"), F.col("lead_n"))).select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct()
+    leads = members.groupBy("key").agg(F.max(F.struct("weight", "cls", "n")).alias("lead"))
+    led = members.join(leads, "key").where(F.col("cls") != F.col("lead.cls"))
+    stars = led.where(near(F.col("n"), F.col("lead.n"))).select(F.col("cls").alias("a"), F.col("lead.cls").alias("b")).distinct()
     links = materialize(confirmed(stars, sets, percent), "confirmed")
     found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = members.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    rest = materialize(placed.where("cls <> lead").join(open_keys, "key", "left_semi").select("key", "cls", "n", "component"), "open-buckets")
-    other = rest.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
-    pairs = rest.join(other, "key").where("component < d").where(near(F.col("n"), F.col("m"))).select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
-    links = links.unionByName(confirmed(pairs, sets, percent))
+    links = links.unionByName(confirmed(_open_pairs(placed, leads, sets, percent), sets, percent))
 
     reps = classes.select("cls", "rep")
     by_rep = links.join(reps.withColumnsRenamed({"cls": "a", "rep": "u"}), "a").join(reps.withColumnsRenamed({"cls": "b", "rep": "v"}), "b").select("u", "v")
