@@ -7,9 +7,9 @@ a pair at similarity 0.8 has no band in common with a probability of (1 - 0.8 **
 
 Documents with the same set are one class and are compared once. In each bucket every class is first compared with the class that meets most
 others in its buckets: the original of a group of copies, if it is there. What that joins is one component; then, in buckets that still hold
-several components, classes of different components are compared: members that are connected already need no further link. Shingles that
-no other class of these buckets has bound what a class can share, which rules out nearly all of them before any pair is made; so a large group
-of copies costs its size and not its square. All candidates are confirmed on their full sets.
+several components, classes of different components are compared: members that are connected already need no further link. The rarest
+shingles of a class and its size bound what it can share (see _open_pairs), which rules out nearly all of them before any pair is made; so a
+large group of copies costs its size and not its square. All candidates are confirmed on their full sets.
 
 Null, empty and blank texts have no shingles and no links; a text of fewer words than SHINGLE is one shingle. Rows with the same doc_id are one
 node. Rows with a null id have a null component and are kept. Other columns, whatever their names, play no part.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import Hashes, documents, fast_words, materialize
@@ -103,24 +103,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _open_pairs(placed: DataFrame, leads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that could still be linked, from buckets whose classes (key, cls, n, component) are in several components.
 
-    `own` shingles of a class are in no other class of these buckets, so it has at most n - own in common with any of them, and its partner
-    can't be larger than limit = 100 (n - own) / percent - own. A class with limit < n needs a smaller partner, and two of those can't be
-    partners. So of each bucket only classes stay whose limit reaches its smallest class, or whose size is in reach of another's limit."""
+    Shingles are put in one order, the rarest first. The first common shingle of a linked pair, at position `at` of a class of n, has all common ones
+    behind it, at least percent * (n + m) / (100 + percent) of n - at; so the partner's size m is at most
+    limit = (100 + percent) * (n - at) / percent - n. What sets the copies of one original apart is rare, so a class that isn't linked with the
+    original has its usual partners' sizes beyond the limit before its common shingles begin. Rows that no class with their shingle could pair
+    with go before any pair is made, so a large group costs its size and not its square."""
     keys = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    rest = materialize(placed.join(keys, "key", "left_semi").join(leads.select("key", F.col("lead.cls").alias("lead")), "key").where("cls <> lead").select("key", "cls", "n", "component"), "open-buckets")
-    items = sets.join(rest.select("cls").distinct(), "cls", "left_semi").select(F.xxhash64("cls").alias("c"), F.explode("items").alias("i")).select("c", F.hash("i").alias("i"))
-    single = items.groupBy("i").agg(F.min("c").alias("c"), F.max("c").alias("d")).where("c = d").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
-    rest = rest.withColumn("c", F.xxhash64("cls")).join(single, "c", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    rest = rest.withColumn("limit", F.floor((100 * (F.col("n") - F.col("own"))) / percent) - F.col("own")).where(100 * F.col("limit") >= percent * F.col("n"))
-    rest = materialize(rest.drop("c", "own"), "open-classes")
-    free = F.col("limit") >= F.col("n")
-    reach = rest.groupBy("key").agg(
-        F.min(F.when(free, F.col("n"))).alias("least_free"), F.max(F.when(~free, F.col("limit"))).alias("reach"), F.min(F.when(free, F.col("component"))).alias("f0"), F.max(F.when(free, F.col("component"))).alias("f1")
-    )
-    live = rest.join(reach, "key").where(F.when(free, (F.col("f0") != F.col("f1")) | (F.col("n") <= F.col("reach"))).otherwise(F.col("limit") >= F.col("least_free")))
-    one = materialize(live.select("key", "cls", "n", "component", "limit", free.alias("free")), "open-rest")
-    two = one.select("key", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"), F.col("limit").alias("limit_b"), F.col("free").alias("free_b"))
-    return one.join(two, "key").where("component < d and m <= limit and n <= limit_b and (free or free_b)").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
+    rest = placed.join(keys, "key", "left_semi").join(leads.select("key", F.col("lead.cls").alias("lead")), "key").where("cls <> lead")
+    rest = materialize(rest.select("cls", "n", "component").distinct(), "open-classes")
+    items = materialize(sets.join(rest, "cls").select("cls", "n", "component", F.explode("items").alias("i")), "open-shingles")
+    often = items.groupBy("i").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    inside = Window.partitionBy("cls")
+    at = F.col("n") - F.count(F.lit(1)).over(inside) + F.row_number().over(inside.orderBy("f", "i")) - 1
+    rows = items.join(often, "i").withColumn("limit", F.floor((100 + percent) * (F.col("n") - at) / percent) - F.col("n"))
+    rows = materialize(rows.where(100 * F.col("limit") >= percent * F.col("n")).select("i", "cls", "n", "component", "limit"), "open-prefixes")
+    for _ in range(2):  # each pass may leave shingles with fewer classes
+        ends = rows.groupBy("i").agg(F.min("n").alias("least"), F.max("limit").alias("reach"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("i", "least", "reach")
+        rows = materialize(rows.join(ends, "i").where("limit >= least and n <= reach").drop("least", "reach"), "open-rest")
+    two = rows.select("i", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"), F.col("limit").alias("limit_b"))
+    return rows.join(two, "i").where("component < d and m <= limit and n <= limit_b").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
