@@ -9,8 +9,11 @@ For each document the posterior of a language is the product of
 One more class, UNKNOWN, has uniform trigrams and a small prior: text in none of the languages. A document is rejected where its class is
 UNKNOWN, its posterior is under LEAST, or its text has no letters.
 
-The trigram models are counted over all labelled rows; languages are those declared for at least SHARE of them, so there are at most
-1 / SHARE. The declarations' and hosts' tables are counts of what the text alone says, taken over all documents by grouped aggregation.
+The trigram models are counted over all labelled rows; languages are all that have at least LABELLED trigrams under their declaration, however
+many languages there are and whatever their share. Half a trigram is added to each bucket; LABELLED is the sum of these halves, so a model is at
+least half text, and trigrams that it hasn't seen are less likely under it than under UNKNOWN, by enough for UNKNOWN's prior. Models are sparse:
+a number per language and bucket seen. The declarations' and hosts' tables are counts of what the text alone says, taken over all documents by
+grouped aggregation.
 
 Null text, url, host and declaration count as empty; an empty declaration is one of its own. Texts without letters are UNKNOWN and rejected.
 Repeated rows and ties give a row each; a tie goes to the language first in the alphabet. Other columns are handed on as they are.
@@ -29,7 +32,10 @@ from pyspark.sql import types as T
 
 from marlstone.llm.common import beside, last, materialize, put_back, ship
 
-BUCKETS, SHARE, EVIDENCE, LEAST = 1 << 13, 0.005, 60, 0.5
+BUCKETS, EVIDENCE, LEAST = 1 << 13, 60, 0.5
+LABELLED = BUCKETS // 2
+#: Languages whose counts a task holds at once, and terms of a likelihood that are added up at once.
+HELD, TERMS = 256, 1 << 20
 UNKNOWN, UNKNOWN_PRIOR, SMOOTH = "und", 1e-9, 20.0
 BLOCK = 1 << 18
 RESULT = ("text_language", "language", "posterior", "letters", "accepted")
@@ -50,39 +56,65 @@ def trigrams(text: str) -> Iterator[tuple[np.ndarray, int]]:
         yield ((code[code != 0x202020] * np.uint32(0x9E3779B1)) >> np.uint32(19)).astype(np.int64), own
 
 
-def _count(languages: list[str]):
-    index = {x: k for k, x in enumerate(languages)}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros((len(languages), BUCKETS), np.int64)
-        for b in batches:
-            for t, lang in zip(b["text"], b["declared"], strict=True):
-                for bucket, _ in trigrams(t):
-                    seen[index[lang]] += np.bincount(bucket, minlength=BUCKETS)
-        k, bucket = np.nonzero(seen)
-        yield pd.DataFrame({"k": k.astype(np.int32), "bucket": bucket.astype(np.int32), "n": seen[k, bucket]})
-
-    return run
-
-
-def fit(labelled: DataFrame, share: float = SHARE) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities (language, bucket), UNKNOWN last) from all rows of (text, declared)."""
-    counts = labelled.where("declared <> ''").groupBy("declared").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    languages = sorted(r[0] for r in counts.where(F.col("n") >= share * total).select("declared").collect())  # at most 1 / share rows
-    seen = np.full((len(languages) + 1, BUCKETS), 0.5)
-    if languages:
-        rows = labelled.where(F.col("declared").isin(*languages)).mapInPandas(_count(languages), "k int, bucket int, n long")
-        for r in rows.groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas().itertuples():  # a number per language and bucket
-            seen[r.k, r.bucket] += r.n
-    return [*languages, UNKNOWN], np.log(seen / seen.sum(axis=1, keepdims=True))
-
-
-def _loglik(text: str, table: np.ndarray) -> tuple[np.ndarray, int]:
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(seen: dict[str, np.ndarray]) -> pd.DataFrame:
+        at = [np.flatnonzero(n) for n in seen.values()]
+        return pd.DataFrame({"declared": np.repeat(np.array(list(seen), object), [len(x) for x in at]), "bucket": np.concatenate(at).astype(np.int32), "n": np.concatenate([n[x] for n, x in zip(seen.values(), at, strict=True)])})
+
+    seen: dict[str, np.ndarray] = {}
+    for b in batches:
+        for t, lang in zip(b["text"], b["declared"], strict=True):
+            if lang not in seen and len(seen) >= HELD:
+                yield told(seen)
+                seen = {}
+            n = seen.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            for bucket, _ in trigrams(t):
+                n += np.bincount(bucket, minlength=BUCKETS)
+    if seen:
+        yield told(seen)
+
+
+class Model:
+    """Log-probabilities of buckets under each class. Half a trigram in each bucket gives all buckets of a class the same log-probability,
+    `floor`; a bucket seen n times has log(2n + 1) more, and only these terms are kept, by bucket."""
+
+    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """found: (buckets, their counts) of each class."""
+        total = np.array([n.sum() for _, n in found], np.float64)
+        self.floor = np.log(0.5 / (total + 0.5 * BUCKETS))
+        bucket = np.concatenate([b for b, _ in found])
+        order = np.argsort(bucket, kind="stable")
+        self.at = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        self.cls = np.repeat(np.arange(len(found), dtype=np.int32), [len(b) for b, _ in found])[order]
+        self.more = np.concatenate([np.log(2.0 * n + 1).astype(np.float32) for _, n in found])[order]
+
+    def loglik(self, bucket: np.ndarray) -> np.ndarray:
+        """Log-likelihood of a text's buckets under each class."""
+        n = np.bincount(bucket, minlength=BUCKETS)
+        out, seen, step = len(bucket) * self.floor, np.flatnonzero(n), max(1, TERMS // len(self.floor))
+        for k in range(0, len(seen), step):
+            u = seen[k : k + step]
+            size = self.at[u + 1] - self.at[u]
+            term = np.repeat(self.at[u] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out += np.bincount(self.cls[term], np.repeat(n[u], size) * self.more[term].astype(np.float64), minlength=len(out))
+        return out
+
+
+def fit(labelled: DataFrame, least: int = LABELLED) -> tuple[list[str], Model]:
+    """(classes, model), UNKNOWN last, from all rows of (text, declared)."""
+    rows = labelled.where("declared <> ''").select("text", "declared").mapInPandas(_count, "declared string, bucket int, n long")
+    rows = rows.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).groupBy("declared").agg(F.sum("n").alias("n"), F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts"))
+    each = materialize(rows.where(F.col("n") >= least), "language-trigrams")
+    found = {r.declared: (np.array(r.buckets, np.int32), np.array(r.counts, np.int64)) for r in each.toLocalIterator()}  # a row per language
+    languages = sorted(found)
+    return [*languages, UNKNOWN], Model([*(found[x] for x in languages), (np.empty(0, np.int32), np.empty(0, np.int64))])
+
+
+def _loglik(text: str, model: Model) -> tuple[np.ndarray, int]:
     """Tempered log-likelihood per class, and letters of the whole text."""
-    total, n, own = np.zeros(table.shape[1]), 0, 0
+    total, n, own = np.zeros(len(model.floor)), 0, 0
     for bucket, k in trigrams(text):
-        total += table[bucket].sum(axis=0, dtype=np.float64)
+        total += model.loglik(bucket)
         n, own = n + len(bucket), own + k
     return total * min(1.0, EVIDENCE / max(n, 1)), own
 
@@ -91,9 +123,8 @@ def _decide(model):
     """What each text alone says."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.ascontiguousarray(model.value.T.astype(np.float32))
         for b in batches:
-            said = [_loglik(t, table) for t in b["text"]]
+            said = [_loglik(t, model.value) for t in b["text"]]
             yield b.drop(columns="text").assign(best=np.array([np.argmax(x) if own else len(x) - 1 for x, own in said], np.int32))
 
     return run
@@ -103,11 +134,10 @@ def _fuse(model, classes: list[str]):
     """The posterior of each row, from its text, the prior of its host and what its declaration says. Other columns pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.ascontiguousarray(model.value.T.astype(np.float32))
         for b in batches:
             out = []
             for t, prior, says in zip(b.column("text").to_pylist(), b.column("prior").to_pylist(), b.column("says").to_pylist(), strict=True):
-                x, own = _loglik(t or "", table)
+                x, own = _loglik(t or "", model.value)
                 joint = x + np.log(prior) + np.array(says)
                 at = int(np.argmax(joint)) if own else len(classes) - 1
                 p = float(np.exp(joint[at] - joint.max()) / np.exp(joint - joint.max()).sum())
@@ -126,31 +156,48 @@ def host_parts(host: Column) -> tuple[Column, Column]:
     return F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), "."), F.when(n > 1, F.element_at(labels, -1)).otherwise("")
 
 
-def _counts(decided: DataFrame, by: list[str], k: int) -> DataFrame:
-    """Rows whose text alone is of class i, as n0, n1, ... per `by`."""
-    return decided.groupBy(*by).agg(*(F.coalesce(F.sum(F.when(F.col("best") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(k)), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+def _counts(decided: DataFrame, by: list[str]) -> DataFrame:
+    """Per `by`: rows whose text alone is of each class, as a map of those that occur, `of`, and all of them, `n`."""
+    each = decided.groupBy(*by, "best").agg(F.sum("n").alias("each"))
+    return each.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("best", "each"))).alias("of"), F.sum("each").alias("n"))
+
+
+def _whole(decided: DataFrame, k: int) -> list[int]:
+    out = [0] * k
+    for r in decided.groupBy("best").agg(F.sum("n").alias("n")).collect():  # a row per class
+        out[r.best] = r.n
+    return out
+
+
+def _row(decided: DataFrame, name: str, values: list[float]) -> DataFrame:
+    return F.broadcast(decided.sparkSession.createDataFrame([(values,)], f"{name} array<double>"))
+
+
+def _of(i: Column | int) -> Column:
+    return F.coalesce(F.element_at("of", i), F.lit(0))
 
 
 def host_priors(decided: DataFrame, k: int, smooth: float = SMOOTH) -> DataFrame:
     """(suffix, domain, host, prior): probabilities per class, each level's counts smoothed by the prior of the level above. That of UNKNOWN is
     the same everywhere: a short text that only looks unknown is no evidence about its host."""
-    whole = _counts(decided, [], k).first()
-    prior = [(1 - UNKNOWN_PRIOR) * (whole[f"n{i}"] + 1.0) / (whole["n"] - whole[f"n{k - 1}"] + k - 1) for i in range(k - 1)] + [UNKNOWN_PRIOR]
-    levels, above = ["suffix", "domain", "host"], None
+    whole = _whole(decided, k)
+    prior = [(1 - UNKNOWN_PRIOR) * (n + 1.0) / (sum(whole[:-1]) + k - 1) for n in whole[:-1]] + [UNKNOWN_PRIOR]
+    levels, above = ["suffix", "domain", "host"], _row(decided, "prior", prior)
     for depth in range(1, 4):
-        c = _counts(decided, levels[:depth], k)
-        c = c.withColumn("prior", F.array(*map(F.lit, prior))) if above is None else c.join(above, levels[: depth - 1])
-        known = F.col("n") - F.col(f"n{k - 1}") + smooth
-        above = c.select(*levels[:depth], F.array(*((F.col(f"n{i}") + smooth * F.col("prior")[i]) / known for i in range(k - 1)), F.lit(UNKNOWN_PRIOR)).alias("prior"))
+        c = _counts(decided, levels[:depth])
+        c = c.crossJoin(above) if depth == 1 else c.join(above, levels[: depth - 1])
+        known = F.col("n") - _of(F.lit(k - 1)) + smooth
+        own = F.transform("prior", lambda p, i: F.when(i == k - 1, F.lit(UNKNOWN_PRIOR)).otherwise((_of(i) + smooth * p) / known))  # noqa: B023
+        above = c.select(*levels[:depth], own.alias("prior"))
     return above
 
 
 def declarations(decided: DataFrame, k: int, smooth: float = SMOOTH) -> DataFrame:
     """(declared, says): the log-probability per class that its text is declared so, smoothed by how often anything is."""
-    c = _counts(decided, ["declared"], k)
-    whole = c.agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), *(F.sum(f"n{i}").alias(f"n{i}") for i in range(k))).first()
-    usual = (F.col("n") + 1) / F.lit((whole["n"] or 0) + whole["kinds"])
-    return c.select("declared", F.array(*(F.log((F.col(f"n{i}") + smooth * usual) / F.lit((whole[f"n{i}"] or 0) + smooth)) for i in range(k))).alias("says"))
+    whole, c = _whole(decided, k), _counts(decided, ["declared"])
+    usual = (F.col("n") + 1) / F.lit(float(sum(whole) + c.count()))
+    c = c.withColumn("usual", usual).crossJoin(_row(decided, "whole", [float(n) for n in whole]))
+    return c.select("declared", F.transform("whole", lambda n, i: F.log((_of(i) + smooth * F.col("usual")) / (n + smooth))).alias("says"))
 
 
 def identify(docs: DataFrame, declared: Column, host: Column, text_col: str = "text", smooth: float = SMOOTH) -> DataFrame:
@@ -162,8 +209,8 @@ def identify(docs: DataFrame, declared: Column, host: Column, text_col: str = "t
     domain, suffix = host_parts(F.col("host"))
     rows = rows.withColumns({"domain": domain, "suffix": suffix})
     texts = rows.select("declared", "host", "domain", "suffix", blank(F.col("text")).alias("text"))
-    classes, table = fit(texts.select("text", "declared"))
-    model, k = spark.sparkContext.broadcast(table), len(classes)
+    classes, fitted = fit(texts.select("text", "declared"))
+    model, k = spark.sparkContext.broadcast(fitted), len(classes)
     decided = texts.mapInPandas(_decide(model), "declared string, host string, domain string, suffix string, best int").groupBy("declared", "host", "domain", "suffix", "best").agg(F.count(F.lit(1)).alias("n"))
     decided = materialize(decided, "language-decisions")
     priors, says = materialize(host_priors(decided, k, smooth), "host-priors"), materialize(declarations(decided, k, smooth), "declarations")

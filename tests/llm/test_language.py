@@ -81,3 +81,45 @@ def test_edges(spark, empty, clashing):
     assert language.identify(empty, F.col("lang"), F.col("source")).count() == 0
     d = language.identify(clashing, F.col("lang"), F.col("source"))
     assert d.columns[:-1] == clashing.columns and d.count() == clashing.count() and d.columns[-1] == "identified_"
+
+
+def own_words(rng, k):
+    """Words of an invented language: its own few letters."""
+    letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 6)
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(60)]
+
+
+def invented(rng, words, n=400):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def test_languages_of_small_share_and_many_languages_are_kept(spark):
+    """250 languages of equal size, none with 0.5 % of the rows, and junk of no language."""
+    rng = random.Random(12)
+    vocabulary = {f"l{k:03}": own_words(rng, k) for k in range(250)}
+    rows = [(4 * k + j, invented(rng, w), x, f"src{k % 3}", 0) for k, (x, w) in enumerate(vocabulary.items()) for j in range(4)]
+    rows += [(5000, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(600)), None, "src0", 0), (5001, invented(rng, own_words(rng, 0), 20), "l999", "src0", 0)]
+    got = {r["doc_id"]: r["identified"] for r in language.identify(make(spark, rows), F.col("lang"), F.col("source")).collect()}
+    assert all(got[d].accepted and got[d].language == x for d, _, x, _, _ in rows[:1000])
+    assert not got[5000].accepted and got[5000].language == "und"
+
+
+def test_rare_language_beside_a_common_one(spark):
+    """2 of 1,202 rows, under 0.2 %."""
+    rng = random.Random(13)
+    rare, common = own_words(rng, 0), own_words(rng, 1)
+    rows = [(i, invented(rng, common, 40), "big", "src0", 0) for i in range(1200)] + [(2000 + i, invented(rng, rare, 800), "rare", "src0", 0) for i in range(2)]
+    got = {r["doc_id"]: r["identified"] for r in language.identify(make(spark, rows), F.col("lang"), F.col("source")).where("doc_id >= 2000").collect()}
+    assert len(got) == 2 and all(x.accepted and x.language == "rare" for x in got.values())
+
+
+def test_sparse_model_equals_a_dense_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    found = [(b := np.sort(rng.choice(language.BUCKETS, 900, replace=False)).astype(np.int32), rng.integers(1, 50, len(b))) for _ in range(5)]
+    dense = np.full((5, language.BUCKETS), 0.5)
+    for k, (b, n) in enumerate(found):
+        dense[k, b] += n
+    text = rng.integers(0, language.BUCKETS, 3000)
+    want = np.log(dense / dense.sum(axis=1, keepdims=True))[:, text].sum(axis=1)
+    monkeypatch.setattr(language, "TERMS", 64)
+    np.testing.assert_allclose(language.Model(found).loglik(text), want, rtol=1e-6)
