@@ -1,6 +1,7 @@
 """Line dedup: a line goes if an earlier line is the same or lies within one word's edit of it.
 
-Lines end at line feeds; their words are the bytes between ASCII white space, A-Z lowered. Lines of fewer than MIN_WORDS words always stay.
+Lines end at line feeds; their words are the bytes between ASCII white space, A-Z lowered. Lines without words always stay. An edit
+counts between lines of MIN_WORDS words or more: in shorter ones it is over a quarter of the line, and any two lines of one word are an edit apart.
 Earlier means a smaller (id, row, line number), null ids first; an earlier line counts whether it stays itself or not.
 
 Equal lines are found by their hash. For the others, the deletion neighbourhood of a line is the line itself and every variant with one word left
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from marlstone.llm.bytewords import mix, words
 from marlstone.llm.common import beside, last, materialize, put_back, ship
 
-MIN_WORDS = 8
+MIN_WORDS = 4
 _Q = 0xD6E8FEB86659FD93
 _DOWN = pow(_Q, -1, 1 << 64)
 
@@ -72,7 +73,7 @@ def _key(h: np.ndarray, *more) -> np.ndarray:
 
 
 def _describe(min_words: int):
-    """Per text: packed text, and number, hash and half-line keys of each line that has words enough."""
+    """Per text: packed text, and number, hash and half-line keys of each line that has words, the latter null where it has fewer than min_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
@@ -84,7 +85,7 @@ def _describe(min_words: int):
                 count = np.array([len(s) for s in split])
                 s = Sequences([x for lines in split for x in lines])
                 number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                on = np.flatnonzero(s.n >= min_words)
+                on = np.flatnonzero(s.n)
                 a, n = s.start[on], s.n[on]
                 e, m, k = a + n, n // 2, (n - 1) // 2
                 short = np.where(n % 2 == 0, k, n - 1 - k)  # the other half-length for a partner of one word less
@@ -93,7 +94,7 @@ def _describe(min_words: int):
                 ends = np.searchsorted(on, np.cumsum(count))
                 offsets = pa.array(np.r_[0, ends].astype(np.int32))
                 packed = pa.array([None if t is None else z.compress(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
-                arrays = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in cols.values()]
+                arrays = [pa.ListArray.from_arrays(offsets, pa.array(v, mask=n < min_words if c.startswith("k") else None)) for c, v in cols.items()]
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rest"), packed, *arrays], names=["id", "rest", "packed", *cols])
 
     return run
@@ -164,7 +165,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     lines = packed.select("id", "row", F.explode(F.arrays_zip("line", "h")).alias("x")).select("id", "row", "x.line", "x.h")
     firsts = materialize(lines.groupBy("h").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("times")), "distinct-lines")
 
-    halves = packed.select(F.explode(F.arrays_zip("h", "k1", "k2", "k3")).alias("x")).select("x.h", F.explode(F.array("x.k1", "x.k2", "x.k3")).alias("k"))
+    halves = packed.select(F.explode(F.arrays_zip("h", "k1", "k2", "k3")).alias("x")).where("x.k1 is not null").select("x.h", F.explode(F.array("x.k1", "x.k2", "x.k3")).alias("k"))
     shared = materialize(halves.groupBy("k").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("k"), "shared-halves")
     near = materialize(firsts.join(halves.join(shared, "k", "left_semi").select("h").distinct(), "h", "left_semi"), "near-lines")
     wanted = near.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("h", F.col("first.line").alias("line"))).alias("wanted"))
