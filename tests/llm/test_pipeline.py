@@ -66,3 +66,15 @@ def test_stages_stand_nulls_and_empty_tables(spark, sf, corpus, empty, name, sta
 def test_order_of_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontamination", "sentencepiece"]
     assert corpus_pipeline.STAGES[2][1] is neardup.stage and corpus_pipeline.STAGES[3][1] is decontaminate.stage
+
+
+def test_exact_copy_with_short_lines_goes(spark, sf, tmp_path):
+    """The copy's short lines don't stay behind as a document of their own."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").limit(40)
+    long = "the anther honest onthere restore instant thereon hations store another erstone reason\n"
+    planted = "Onthere\n" + long + "restore hations onthere\n\n" + long.replace("honest", "onanin").replace("store", "erhat")
+    more = make(spark, [(d, planted, "en", "src0", len(planted)) for d in (1_000_001, 1_000_002)])
+    docs.unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r[0] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert 1_000_001 in got and 1_000_002 not in got
