@@ -54,7 +54,7 @@ doi AS (SELECT close_time_ms, taker, oi, CASE WHEN prev <> 0 THEN oi / prev - 1
 
 
 def _deriv(step: int) -> str:
-    return _bars(step, "deriv", "event_type = 'purchase' AND event_id % 2 = 1", f"'{DERIVATIVE}'")
+    return _bars(step, "deriv", "event_type = 'purchase'", f"'{DERIVATIVE}'")
 
 
 _BASIS = f"""basis AS (
@@ -149,6 +149,19 @@ _availability = " UNION ALL ".join(
 )
 _missing = " UNION ALL ".join(f"SELECT '{m}' AS model, '{f}' AS feature, count(*) - count({f}) AS missing FROM members" for m, fs in PROTOCOL.feature_sets.items() for f in fs)
 _B = f"WITH {_bars(HOUR)}"
+_STATUS = f"""{_MEMBERS}, lacking AS (SELECT model, string_agg(feature, ',' ORDER BY feature) AS missing_features FROM ({_missing}) WHERE missing > 0 GROUP BY 1),
+sets(model) AS (VALUES {', '.join(f"('{m}')" for m in PROTOCOL.feature_sets)}),
+status AS (SELECT s.model, CASE WHEN missing_features IS NULL THEN 'EVALUATED_OOS' ELSE 'BLOCKED_MISSING_FEATURES' END AS status, coalesce(missing_features, '') AS missing_features FROM sets s LEFT JOIN lacking USING (model))"""
+_LOADED = 'open_time_ms, close_time_ms, "open", high, low, "close", round(volume, 8) AS volume, "count", round(taker_buy_volume, 8) AS taker_buy_volume'
+
+
+def _overall() -> str:
+    return f"""WITH {_summary('model', 'fold, idx')}, {_SHARE}, {_STATUS.removeprefix(_MEMBERS + ', ')},
+o AS (SELECT s.*, positive_folds, fold_count, positive_folds / fold_count >= 0.6 AND net_return > 0 AND simple_alpha > 0 AND coalesce(sharpe > 0, false) AS ok FROM summ s JOIN share USING (model))
+SELECT t.model, t.status, CASE WHEN t.missing_features = '' THEN fold_count ELSE 0 END AS folds, CASE WHEN t.missing_features = '' THEN ok ELSE false END AS candidate_screen_pass,
+       {', '.join(f"CASE WHEN t.missing_features = '' THEN {v} END AS {n}" for n, v in (("observations", "observations"), ("net_return", "round(net_return, 6) + 0.0"), ("max_drawdown", "round(max_drawdown, 6) + 0.0"), ("turnover", "round(turnover, 6) + 0.0"), ("positive_folds", "positive_folds")))}
+FROM status t JOIN o USING (model)"""
+
 
 ORACLES: dict[str, str] = {
     "dedup_keep_last": f"SELECT user_id, day, event_id, event_type, value FROM (SELECT *, (epoch_us(ts) // 1000) // {DAY} AS day, row_number() OVER (PARTITION BY user_id, (epoch_us(ts) // 1000) // {DAY} ORDER BY event_id DESC) AS k FROM events) WHERE k = 1",
@@ -204,4 +217,13 @@ SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (['', 'abc', 'NaN', 'inf', '-in
     "calendar_reindex": f"""{_B}, g AS (SELECT unnest(generate_series(min(close_time_ms), max(close_time_ms), {HOUR})) AS close_time_ms FROM bars)
 SELECT s.symbol, g.close_time_ms, b."close" FROM g CROSS JOIN (SELECT DISTINCT symbol FROM bars) s LEFT JOIN bars b ON b.symbol = s.symbol AND b.close_time_ms = g.close_time_ms""",
     "wide_to_long": f"{_B} " + " UNION ALL ".join(f"SELECT symbol, close_time_ms, '{c}' AS field, \"{c}\" AS price FROM bars" for c in ("open", "high", "low", "close")),
+    "complete_rows": """SELECT event_id, round(value, 8) AS a, round(value / 2, 8) AS b FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 3 <> 0""",
+    "model_status": f"WITH {_STATUS} SELECT model, status, missing_features FROM status",
+    "evaluation_overall": _overall(),
+    "source_spot_bars": f"{_B} SELECT upper(symbol) AS symbol, {_LOADED} FROM bars",
+    "source_derivative_bars": f"WITH {_deriv(HOUR)} SELECT upper(symbol) AS symbol, {_LOADED} FROM deriv",
+    "source_metrics": f"""WITH {_METRICS} SELECT upper(symbol) AS symbol, timestamp_ms // 1000 * 1000 AS timestamp_ms, round(arg_max(taker_long_short_ratio, timestamp_ms), 8) AS taker_long_short_ratio,
+round(arg_max_null(sum_open_interest_value, timestamp_ms), 8) AS sum_open_interest_value FROM metrics GROUP BY 1, 2""",
+    "source_onchain": f'WITH {_ONCHAIN} SELECT asset, available_time_ms - {DAY} AS metric_time_ms, available_time_ms, "AdrActCnt", "TxCnt", round("FeeTotNtv", 8) AS "FeeTotNtv" FROM oc',
+    "source_panel_csv": f'WITH {_panel(DAY)} SELECT "timestamp", decision_time_ms, asset, {_round(["forward_return", "benchmark_return", "momentum_1h"], 7)}, target_close_time FROM panel',
 }

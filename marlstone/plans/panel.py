@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.values import asset_from_symbol, growth, iso_from_ms, ms_from_iso, onchain_activity, simple_return, taker_transform
-from marlstone.operators.joins import asof_backward, basis, benchmark, decision_times, leave_one_out
+from marlstone.operators.joins import asof_backward, basis, benchmark, checked_broadcast, decision_times, leave_one_out
+from marlstone.operators.tables import materialize
 from marlstone.operators.windows import bar_features, last_before, rolling_zscore
 from marlstone.protocol import Protocol
 from marlstone.schema import PANEL, RESERVED
@@ -22,9 +23,9 @@ ASOF_BUCKET_MS = 30 * 86_400_000
 GAP_LIMIT_HOURS = 1.000001
 
 
-def derivative_state(times: DataFrame, metrics: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(symbol, close_time_ms, taker, oi_change) at the decision times that have metrics at or before them."""
-    at = times.crossJoin(F.broadcast(mapping)).withColumnRenamed("derivative", "m_symbol")
+def derivative_state(at: DataFrame, metrics: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(symbol, close_time_ms, taker, oi_change) at those of `at` (symbol, close_time_ms) that have a derivative with metrics at or before them."""
+    at = at.select("symbol", "close_time_ms").join(checked_broadcast(mapping), "symbol").withColumnRenamed("derivative", "m_symbol")
     right = metrics.withColumnRenamed("symbol", "m_symbol")
     found = asof_backward(at, right, ["m_symbol"], "close_time_ms", "timestamp_ms", bucket_ms=ASOF_BUCKET_MS).where("matched is not null")
     oi = F.col("matched.sum_open_interest_value")
@@ -41,10 +42,11 @@ def onchain_state(onchain: DataFrame) -> DataFrame:
 def point_in_time_panel(spot: DataFrame, benchmark_symbol: str = "BTCUSDT", derivative_bars: DataFrame | None = None, derivative_metrics: DataFrame | None = None, derivative_map: dict[str, str] | None = None, onchain: DataFrame | None = None, symbols: int | None = None) -> DataFrame:
     """The panel of PANEL's columns; features at t use rows up to t only. derivative_metrics needs `symbol`, onchain `asset`."""
     spark = spot.sparkSession
-    if spot.where(F.col("symbol") == benchmark_symbol).isEmpty() and symbols is None:
-        raise ValueError(f"benchmark {benchmark_symbol} is absent")
+    spot = materialize(spot, "bars")  # read by the windows, the common times, the benchmark and the basis
+    if symbols is None and spot.where(F.col("symbol") == benchmark_symbol).isEmpty():
+        raise ValueError(f"no bars of the benchmark symbol {benchmark_symbol}")
     features = bar_features(spot)
-    times = decision_times(spot, symbols)
+    times = materialize(decision_times(spot, symbols), "decision-times")
     rows = features.join(times, "close_time_ms", "left_semi").withColumn("cross_crypto_leadlag", leave_one_out("ret1", "close_time_ms"))
     rows = rows.join(benchmark(features, benchmark_symbol), "close_time_ms").where("next_close_time_ms is not null")
 
@@ -53,7 +55,7 @@ def point_in_time_panel(spot: DataFrame, benchmark_symbol: str = "BTCUSDT", deri
     if derivative_bars is not None:
         rows = rows.join(basis(spot, derivative_bars, mapping), ["symbol", "close_time_ms"], "left")
     if derivative_metrics is not None:
-        rows = rows.join(derivative_state(times, derivative_metrics, mapping).drop("oi"), ["symbol", "close_time_ms"], "left")
+        rows = rows.join(derivative_state(spot.join(times, "close_time_ms", "left_semi"), derivative_metrics, mapping).drop("oi"), ["symbol", "close_time_ms"], "left")
     if onchain is not None:
         rows = asof_backward(rows.withColumn("asset", asset_from_symbol(F.col("symbol"))), onchain_state(onchain), ["asset"], "close_time_ms", "available_time_ms", name="oc", bucket_ms=ASOF_BUCKET_MS)
     have = set(rows.columns)
@@ -98,18 +100,20 @@ def duplicate_keys(panel: DataFrame) -> DataFrame:
 
 
 def panel_quality(panel: DataFrame) -> DataFrame:
-    """One row of quality flags. Only one row per timestamp meets in the ordering window."""
+    """One row of quality flags. Only one row per timestamp meets in the ordering window; a timestamp's assets are as many as it has rows, and
+    universes are told apart by the least and the greatest list, so none are gathered over time."""
     late = ms_from_iso(F.col("target_close_time")) <= ms_from_iso(F.col("timestamp"))
     per_ts = panel.groupBy("timestamp").agg(F.array_sort(F.collect_set("asset")).alias("assets"), F.count(F.lit(1)).alias("n"), F.max(late).alias("late"))
     w = Window.orderBy("timestamp")
     gaps = per_ts.withColumn("gap", (ms_from_iso(F.col("timestamp")) - F.lag(ms_from_iso(F.col("timestamp"))).over(w)) / F.lit(3_600_000.0))
     out = gaps.agg(
-        F.count(F.lit(1)).alias("decision_timestamps"), F.countDistinct("assets").alias("_universes"), F.max("late").alias("_late"),
+        F.count(F.lit(1)).alias("decision_timestamps"), F.coalesce(F.min("assets") == F.max("assets"), F.lit(True)).alias("stable_asset_universe"), F.max("late").alias("_late"),
         F.greatest(F.coalesce(F.max("gap"), F.lit(0.0)), F.lit(0.0)).alias("max_gap_hours"), F.max(F.col("n") > F.size("assets")).alias("_dup"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("assets")))).cast("long").alias("asset_count"),
     )
+    assets = panel.select("asset").distinct().agg(F.count("asset").alias("asset_count"))
+    out = out.withColumn("_one", F.lit(1)).join(F.broadcast(assets.withColumn("_one", F.lit(1))), "_one")  # one row each
     return out.select(
-        "decision_timestamps", "asset_count", (F.col("_universes") <= 1).alias("stable_asset_universe"), (~F.coalesce(F.col("_late"), F.lit(False))).alias("target_strictly_after_decision"),
+        "decision_timestamps", "asset_count", "stable_asset_universe", (~F.coalesce(F.col("_late"), F.lit(False))).alias("target_strictly_after_decision"),
         "max_gap_hours", ((F.col("decision_timestamps") <= 1) | (F.col("max_gap_hours") <= GAP_LIMIT_HOURS)).alias("hourly_continuity_ok"), F.coalesce(F.col("_dup"), F.lit(False)).alias("duplicate_keys"),
     )
 
@@ -124,10 +128,11 @@ def readiness_report(panel: DataFrame, protocol: Protocol) -> dict[str, Any]:
     """The readiness document; raises on duplicate keys. The driver gets one row, one row per model and the asset names."""
     r = readiness(panel, protocol).first().asDict()
     if r["duplicate_keys"]:
-        raise ValueError(f"duplicate panel key: {tuple(duplicate_keys(panel).first())[:2]}")
+        raise ValueError(f"the panel has a duplicate key, more than one row at {tuple(duplicate_keys(panel).first())[:2]}")
     assets = sorted(x[0] for x in panel.select("asset").distinct().collect())
     models = feature_availability(panel, protocol.feature_sets).collect()
     ready = bool(r["history_ready_for_first_fold"])
+    # fixed values: the document's keys, mode and decisions
     return {
         "schema_version": "1.1.0", "mode": "RESEARCH_ONLY", "decision_timestamps": r["decision_timestamps"], "assets": assets, "asset_count": len(assets),
         "minimum_timestamps_for_first_fold": r["minimum_timestamps_for_first_fold"], "history_ready_for_first_fold": ready,

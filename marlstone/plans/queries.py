@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import values as V
 from marlstone.operators import cardinality, evaluation as E
 from marlstone.operators import joins as J
+from marlstone.operators import reshape as R
 from marlstone.operators import windows as W
+from marlstone.operators.tables import materialize, new_path
 from marlstone.plans import evaluate as G
 from marlstone.plans import panel as P
+from marlstone.sources import files, vendor
 from marlstone.protocol import FEATURE_SETS, Costs, Protocol, default_protocol
 
 HOUR, DAY = 3_600_000, 86_400_000
 BENCHMARK, DERIVATIVE = "click", "click_future"
 PROTOCOL = Protocol.of(default_protocol(feature_sets=FEATURE_SETS | {"X1": ["momentum_1h", "order_flow_imbalance", "regime_trend"]}))
-EVALUATED = ("M0", "M1", "X1")
+EVALUATED = tuple(PROTOCOL.feature_sets)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -44,7 +47,7 @@ def bars(spark: SparkSession, sf: str, step: int = HOUR) -> DataFrame:
 
 
 def derivative_bars(spark: SparkSession, sf: str, step: int = HOUR) -> DataFrame:
-    e = _events(spark, sf).where("event_type = 'purchase' and event_id % 2 = 1").withColumn("event_type", F.lit(DERIVATIVE))
+    e = _events(spark, sf).where("event_type = 'purchase'").withColumn("event_type", F.lit(DERIVATIVE))
     return bars_from(e, step)
 
 
@@ -67,6 +70,11 @@ def panel(spark: SparkSession, sf: str, step: int = HOUR) -> DataFrame:
     return P.point_in_time_panel(bars(spark, sf, step), BENCHMARK, derivative_bars(spark, sf, step), metrics(spark, sf), {BENCHMARK: DERIVATIVE}, onchain(spark, sf))
 
 
+def written_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel as a table, for plans that read it more than once."""
+    return materialize(panel(spark, sf), "panel")
+
+
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     """Doubles rounded, with no negative zero."""
     return df.select(*((F.round(F.col(f"`{n}`"), digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes))
@@ -77,9 +85,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf: str) -> DataFrame:
-    p = panel(spark, sf)
-    n = p.select("timestamp").distinct().count()
-    return E.fold_members(p, E.folds(spark, max(n, 1), PROTOCOL.walk_forward))
+    return E.fold_members(written_panel(spark, sf), PROTOCOL.walk_forward)
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,7 +93,8 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _returns(spark: SparkSession, sf: str) -> DataFrame:
-    return E.portfolio(E.traded(_scored(spark, sf), PROTOCOL.costs))
+    """A row per model, fold and timestamp, as a table: summaries read it several times."""
+    return materialize(E.portfolio(E.traded(_scored(spark, sf), PROTOCOL.costs)), "returns")
 
 
 def dedup_keep_last(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,7 +153,8 @@ def asof_onchain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def oi_change(spark: SparkSession, sf: str) -> DataFrame:
-    d = P.derivative_state(J.decision_times(bars(spark, sf)), metrics(spark, sf), _mapping(spark))
+    b = bars(spark, sf)
+    d = P.derivative_state(b.join(J.decision_times(b), "close_time_ms", "left_semi"), metrics(spark, sf), _mapping(spark))
     return rounded(d.select("symbol", "close_time_ms", "oi", "oi_change"))
 
 
@@ -179,11 +187,11 @@ def panel_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def panel_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(P.panel_quality(panel(spark, sf)))
+    return rounded(P.panel_quality(written_panel(spark, sf)))
 
 
 def readiness(spark: SparkSession, sf: str) -> DataFrame:
-    return P.readiness(panel(spark, sf), PROTOCOL).select("decision_timestamps", "minimum_timestamps_for_first_fold", "history_ready_for_first_fold")
+    return P.readiness(written_panel(spark, sf), PROTOCOL).select("decision_timestamps", "minimum_timestamps_for_first_fold", "history_ready_for_first_fold")
 
 
 def feature_availability(spark: SparkSession, sf: str) -> DataFrame:
@@ -299,18 +307,64 @@ def sha256_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def calendar_reindex(spark: SparkSession, sf: str) -> DataFrame:
     """Bars aligned to every hour between the first and the last, missing ones null."""
-    b = bars(spark, sf)
-    ends = b.agg(F.min("close_time_ms").alias("a"), F.max("close_time_ms").alias("z"))
-    hours = ends.select(F.explode(F.sequence("a", "z", F.lit(HOUR))).alias("close_time_ms"))
-    grid = hours.join(F.broadcast(b.select("symbol").distinct().where("symbol is not null")))
-    return rounded(grid.join(b.select("symbol", "close_time_ms", "close"), ["symbol", "close_time_ms"], "left"))
+    return rounded(R.reindex(bars(spark, sf).select("symbol", "close_time_ms", "close"), "symbol", "close_time_ms", HOUR))
 
 
 def wide_to_long(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars(spark, sf)
-    long = b.unpivot(["symbol", "close_time_ms"], ["open", "high", "low", "close"], "field", "price")
-    return rounded(long)
+    return rounded(R.stack(bars(spark, sf), ["symbol", "close_time_ms"], ["open", "high", "low", "close"], "field", "price"))
+
+
+def complete_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Logarithms of values over a threshold, infinite and undefined ones as null, and rows that lack one left out."""
+    e = _events(spark, sf).select("event_id", F.when(F.col("event_id") % 5 == 0, float("inf")).when(F.col("event_id") % 7 == 0, float("nan")).otherwise(F.col("value")).alias("a"), F.when(F.col("event_id") % 3 != 0, F.col("value") / 2).alias("b"))
+    return rounded(R.complete(R.bounded(e, ["a", "b"]), ["a", "b"]))
+
+
+def model_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Each feature set with its status: evaluated, or blocked by the features that test rows lack."""
+    return G.model_status(_members(spark, sf), PROTOCOL.feature_sets)
+
+
+def evaluation_overall(spark: SparkSession, sf: str) -> DataFrame:
+    """The evaluation from end to end: validation, eligibility, folds, costs and the screen, a row per feature set."""
+    p = written_panel(spark, sf)
+    report = G.evaluate(p, default_protocol(feature_sets=PROTOCOL.feature_sets))
+    names = ("observations", "net_return", "max_drawdown", "turnover", "positive_folds")
+    rows = [(m, v["status"], len(v["folds"]), v["candidate_screen_pass"], *(v["overall"][k] if v["overall"] else None for k in names)) for m, v in report["models"].items()]
+    kinds = "model string, status string, folds long, candidate_screen_pass boolean, observations long, net_return double, max_drawdown double, turnover double, positive_folds long"
+    return rounded(spark.createDataFrame(rows, kinds), 6)
+
+
+def source_spot_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars written as a vendor's daily files and loaded again."""
+    root = vendor.write_klines(bars(spark, sf).withColumn("symbol", F.upper("symbol")), new_path(spark, "spot"), "spot-klines-{symbol}-1h-{day}.csv")
+    return rounded(files.load_spot_bars(spark, root).select(*_LOADED))
+
+
+def source_derivative_bars(spark: SparkSession, sf: str) -> DataFrame:
+    root = vendor.write_klines(derivative_bars(spark, sf).withColumn("symbol", F.upper("symbol")), new_path(spark, "derivative"), "coinm-klines-{symbol}-1h-{day}.csv")
+    return rounded(files.load_derivative_bars(spark, root).select(*_LOADED))
+
+
+def source_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    root = vendor.write_metrics(metrics(spark, sf).withColumn("symbol", F.upper("symbol")), new_path(spark, "metrics"))
+    return rounded(files.load_derivative_metrics(spark, root).select("symbol", "timestamp_ms", "taker_long_short_ratio", "sum_open_interest_value"))
+
+
+def source_onchain(spark: SparkSession, sf: str) -> DataFrame:
+    root = vendor.write_onchain(onchain(spark, sf), new_path(spark, "onchain"))
+    return rounded(files.load_onchain(spark, root).select("asset", "metric_time_ms", "available_time_ms", "AdrActCnt", "TxCnt", "FeeTotNtv"))
+
+
+def source_panel_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily panel written as CSV, validated in file order and read again."""
+    path = new_path(spark, "panel-csv")
+    files.write_panel_csv(panel(spark, sf, DAY), path)
+    p = files.read_panel_csv(spark, path, validate=True)
+    return rounded(p.select("timestamp", "decision_time_ms", "asset", "forward_return", "benchmark_return", "momentum_1h", "target_close_time"), 7)
+
 
+_LOADED = ("symbol", "open_time_ms", "close_time_ms", "open", "high", "low", "close", "volume", "count", "taker_buy_volume")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -320,5 +374,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         feature_availability, universe_check, timestamp_index, fold_generator, fold_membership, missing_features, score_position, turnover_cost, portfolio_returns,
         drawdown, fold_summary, overall_summary, candidate_screen, cost_styles, event_score, join_cardinality, key_multiplicity, top_key_products, key_intersection,
         asset_from_symbol, epoch_normalize, lenient_cast, sha256_rows, calendar_reindex, wide_to_long,
+        complete_rows, model_status, evaluation_overall, source_spot_bars, source_derivative_bars, source_metrics, source_onchain, source_panel_csv,
     )
 }

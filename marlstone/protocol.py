@@ -101,6 +101,7 @@ FEATURE_SETS = {f"M{k}": [name for step in _STEPS[: k + 1] for name in step] for
 
 def default_protocol(**changes: Any) -> dict[str, Any]:
     """The standard protocol as plain data; keyword arguments replace whole sections."""
+    # fixed values: keys, sections and settings
     return {
         "schema_version": "1.0.0", "experiment_id": "walk_forward_default", "mode": "RESEARCH_ONLY",
         "authority": {**dict.fromkeys(AUTHORITY_FLAGS, False), "holdout_access": "FORBIDDEN"},

@@ -11,6 +11,7 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
 
 
+#: Names and order of the columns of bars, metrics, observations and the panel.
 BARS = _struct(
     ("symbol", _S), ("open_time_ms", _L), ("close_time_ms", _L), ("open", _D), ("high", _D), ("low", _D), ("close", _D),
     ("volume", _D), ("quote_volume", _D), ("count", _L), ("taker_buy_volume", _D), ("taker_buy_quote_volume", _D), ("source_path", _S),

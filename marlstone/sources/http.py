@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 from typing import Any
-from urllib.parse import urlencode, urlparse
+from urllib.parse import urlencode, urlsplit, urlunsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -31,7 +32,19 @@ Fetcher = Callable[[str], tuple[int, bytes]]
 
 
 class ProviderError(RuntimeError):
-    """A request was refused or failed."""
+    """A request that can't be made or that brings nothing usable."""
+
+
+class AddressRefused(ProviderError):
+    """Not HTTPS, or a host that isn't in the list."""
+
+
+class NoAnswer(ProviderError):
+    """The fetcher failed, or answered with another status than 200."""
+
+
+class BadPayload(ProviderError):
+    """The answer isn't JSON, or not of the endpoint's form."""
 
 
 def urlopen_fetcher(url: str) -> tuple[int, bytes]:
@@ -41,44 +54,60 @@ def urlopen_fetcher(url: str) -> tuple[int, bytes]:
         return r.status, r.read()
 
 
-def get_json(url: str, fetch: Fetcher, hosts: set[str] = ALLOWED_HOSTS) -> Any:
-    """The JSON at an https address of an allowed host; every failure is a ProviderError."""
-    at = urlparse(url)
-    if at.scheme != "https" or at.hostname not in hosts:
-        raise ProviderError(f"host not allowlisted: {at.hostname!r}")
+def permitted(url: str, hosts: set[str] = ALLOWED_HOSTS) -> str:
+    """The address, if it may be read."""
+    parts = urlsplit(url)
+    if (parts.scheme, parts.hostname in hosts) != ("https", True):
+        raise AddressRefused(f"{parts.scheme}://{parts.hostname} may not be read; permitted: https to {', '.join(sorted(hosts))}")
+    return url
+
+
+def fetched(url: str, fetch: Fetcher) -> bytes:
     try:
         status, body = fetch(url)
-        if status != 200:
-            raise ProviderError(f"HTTP {status} for {url}")
-        return json.loads(body)
-    except ProviderError:
-        raise
     except Exception as e:
-        raise ProviderError(f"GET failed for {url}: {e}") from e
+        raise NoAnswer(f"no answer from {url}") from e
+    if status != 200:
+        raise NoAnswer(f"{url} answered with status {status}")
+    return body
+
+
+def get_json(url: str, fetch: Fetcher, hosts: set[str] = ALLOWED_HOSTS) -> Any:
+    """The JSON at an https address of a permitted host."""
+    body = fetched(permitted(url, hosts), fetch)
+    try:
+        return json.loads(body)
+    except ValueError as e:
+        raise BadPayload(f"{url} didn't answer with JSON") from e
 
 
 def request_url(endpoint: str, params: dict[str, Any]) -> str:
-    """The address of a request; null parameters are left out."""
+    """The address of a request: the endpoint's own parameters, then those given; null ones are left out."""
     base, path, defaults = ENDPOINTS[endpoint]
-    if endpoint == "book_ticker" and params.get("pair") is not None and params.get("symbol") is not None:
+    if endpoint == "book_ticker" and {"pair", "symbol"} <= {k for k, v in params.items() if v is not None}:
         raise ValueError("give pair or symbol, not both")
-    query = urlencode({k: v for k, v in (defaults | params).items() if v is not None})
-    return f"{base.rstrip('/')}/{path.lstrip('/')}" + (f"?{query}" if query else "")
+    host = urlsplit(base)
+    given = [(k, v) for k, v in {**defaults, **params}.items() if v is not None]
+    return urlunsplit((host.scheme, host.netloc, host.path + path, urlencode(given), ""))
 
 
 def pages(endpoint: str, params: dict[str, Any], fetch: Fetcher) -> Iterator[Any]:
     """Items of a response. asset_metrics is followed from page to page, each on the same host, up to MAX_PAGES."""
-    payload = get_json(request_url(endpoint, params), fetch)
+    url: str | None = request_url(endpoint, params)
     if endpoint != "asset_metrics":
-        yield from payload if isinstance(payload, list) else [payload]
+        answer = get_json(url, fetch)
+        yield from answer if isinstance(answer, list) else [answer]
         return
-    host = {urlparse(CHAIN_BASE).hostname}
+    own = {urlsplit(CHAIN_BASE).hostname}
     for _ in range(MAX_PAGES):
-        yield from payload.get("data", [])
-        if not payload.get("next_page_url"):
+        page = get_json(url, fetch, own)
+        if not isinstance(page, dict):
+            raise BadPayload(f"{url} didn't answer with a page of items")
+        yield from page.get("data", [])
+        url = page.get("next_page_url")
+        if not url:
             return
-        payload = get_json(payload["next_page_url"], fetch, host)
-    raise ProviderError(f"more than {MAX_PAGES} pages")
+    raise BadPayload(f"more than {MAX_PAGES} pages")
 
 
 class _Request(InputPartition):
@@ -121,5 +150,30 @@ def provider(fetch: Fetcher = urlopen_fetcher) -> type[DataSource]:
 def snapshot(calls: dict[str, tuple[str, dict[str, Any]]], fetch: Fetcher = urlopen_fetcher) -> dict[str, Any]:
     """A bounded collection of named calls, each with its request and the SHA-256 of all data in canonical form."""
     data = {name: {"endpoint": e, "request": p, "items": list(pages(e, p, fetch))} for name, (e, p) in calls.items()}
-    body = (json.dumps(data, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n").encode()
-    return {"data": data, "data_sha256": hashlib.sha256(body).hexdigest()}
+    return {"data": data, "data_sha256": _digest(data)}
+
+
+def _digest(data: Any) -> str:
+    return hashlib.sha256((json.dumps(data, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n").encode()).hexdigest()
+
+
+#: Names of the public snapshot's calls, each with its endpoint and which field of the request gives which parameter; and what a
+#: snapshot says of its safety.
+_SPAN = {"startTime": "start_ms", "endTime": "end_ms"}
+PUBLIC_CALLS = {
+    "spot_klines": ("spot_klines", {"symbol": "spot_symbol", "interval": "interval", **_SPAN}),
+    "coinm_funding": ("funding_rate", {"symbol": "coinm_symbol", **_SPAN}),
+    "coinm_open_interest": ("open_interest", {"pair": "coinm_pair", "period": "interval", **_SPAN}),
+    "coinm_taker_buy_sell": ("taker_volume", {"pair": "coinm_pair", "period": "interval", **_SPAN}),
+    "coinm_basis": ("basis", {"pair": "coinm_pair", "period": "interval", **_SPAN}),
+    "onchain_asset_metrics": ("asset_metrics", {"assets": "onchain_asset", "metrics": "onchain_metrics", "start_time": "onchain_start", "end_time": "onchain_end"}),
+}
+SAFETY = {"credentials_used": False, "account_accessed": False, "orders_placed": False, "holdout_accessed": False, "live_authorized": False}
+
+
+def public_snapshot(request: dict[str, Any], fetch: Fetcher = urlopen_fetcher, now: Callable[[], datetime] = lambda: datetime.now(UTC)) -> dict[str, Any]:
+    """The six calls of one market: a page of each, of observations MAX_PAGES at most, so what the driver holds is bounded. The document echoes the
+    whole request and tells when it was fetched. onchain_metrics is a list."""
+    flat = request | {"onchain_metrics": ",".join(request["onchain_metrics"])}
+    data = {name: list(pages(e, {p: flat.get(f) for p, f in own.items()}, fetch)) for name, (e, own) in PUBLIC_CALLS.items()}
+    return {"schema_version": "1.0.0", "mode": "RESEARCH_ONLY", "fetched_at": now().isoformat(), "request": request, "data": data, "safety": SAFETY, "data_sha256": _digest(data)}

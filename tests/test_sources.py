@@ -71,6 +71,33 @@ def test_panel_round_trip(spark, tmp_path):
         files.validate_rows(p.unionByName(p).orderBy("timestamp"))
 
 
+def test_an_empty_panel_is_an_empty_file_and_a_single_one_a_part(spark, tmp_path):
+    from marlstone.plans.panel import point_in_time_panel
+
+    p = point_in_time_panel(B.frame(spark, B.make("BTCUSDT"), B.make("ETHUSDT", slope=0.5)))
+    files.write_panel_csv(p.where("false"), str(tmp_path / "none.csv"))
+    parts = list((tmp_path / "none.csv").glob("part-*"))
+    assert sum(x.stat().st_size for x in parts) == 0
+    files.write_panel_csv(p, str(tmp_path / "one.csv"), single=True)
+    assert len(list((tmp_path / "one.csv").glob("part-*"))) == 1
+    assert files.read_panel_csv(spark, str(tmp_path / "one.csv"), validate=True).count() == p.count()
+
+
+def test_order_is_that_of_files_whatever_their_sizes(spark, tmp_path):
+    """Spark reads the largest piece first."""
+    from marlstone.schema import PANEL
+
+    head = ",".join(PANEL.names)
+    row = lambda i: ",".join([f"2026-01-01T{i // 60:02d}:{i % 60:02d}:00Z", str(i), "A", *[""] * (len(PANEL.names) - 3)])
+    for name, spans in (("good", ((0, 3), (3, 40), (40, 900))), ("bad", ((0, 3), (40, 900), (3, 40)))):
+        (tmp_path / name).mkdir()
+        for k, (a, z) in enumerate(spans):
+            (tmp_path / name / f"part-{k}.csv").write_text("\n".join([head, *(row(i) for i in range(a, z))]) + "\n")
+    assert files.read_panel_csv(spark, str(tmp_path / "good"), validate=True).count() == 900
+    with pytest.raises(ValueError, match="ascend"):
+        files.read_panel_csv(spark, str(tmp_path / "bad"), validate=True)
+
+
 def test_digests(spark, tmp_path):
     import hashlib
 
@@ -102,8 +129,24 @@ def test_pages_are_followed_on_the_same_host():
     with pytest.raises(http.ProviderError, match="pages"):
         list(http.pages("asset_metrics", {}, endless))
     away = lambda url: (200, json.dumps({"data": [], "next_page_url": "https://api.binance.com/p"}).encode())
-    with pytest.raises(http.ProviderError, match="allowlisted"):
+    with pytest.raises(http.AddressRefused):
         list(http.pages("asset_metrics", {}, away))
+    with pytest.raises(http.BadPayload):
+        list(http.pages("asset_metrics", {}, lambda url: (200, b"[1]")))
+
+
+def test_public_snapshot():
+    urls = []
+
+    def fetch(url):
+        urls.append(url)
+        return 200, json.dumps({"data": [{"t": 1}]} if "asset-metrics" in url else [1, 2]).encode()
+
+    request = {"spot_symbol": "BTCUSDT", "coinm_symbol": "BTCUSD_PERP", "coinm_pair": "BTCUSD", "interval": "1h", "start_ms": 5, "end_ms": None, "onchain_asset": "btc", "onchain_start": None, "onchain_end": None, "onchain_metrics": ["AdrActCnt", "TxCnt"]}
+    s = http.public_snapshot(request, fetch)
+    assert s["request"] == request and list(s["data"]) == list(http.PUBLIC_CALLS) and len(urls) == 6 and s["data"]["onchain_asset_metrics"] == [{"t": 1}]
+    assert not any(s["safety"].values()) and s["fetched_at"] and "startTime=5" in urls[0] and "endTime" not in urls[0] and "metrics=AdrActCnt%2CTxCnt" in urls[5]
+    assert s["data_sha256"] == http._digest(s["data"])
 
 
 def test_data_source(spark):

@@ -1,6 +1,6 @@
 import bars as B
 
-from marlstone.streaming.accumulate import accumulate, windowed_bars
+from marlstone.streaming.accumulate import accumulate, merge_bars, windowed_bars
 
 
 def test_accumulation_replaces_touched_days_only_and_repeats_change_nothing(spark, tmp_path):
@@ -19,6 +19,16 @@ def test_accumulation_replaces_touched_days_only_and_repeats_change_nothing(spar
     assert spark.read.parquet(table).count() == 34
 
 
+def test_rows_with_one_key_in_a_batch(spark, tmp_path):
+    """The first batch and later ones keep the last by the order given, whatever their rows' order."""
+    table = str(tmp_path / "table")
+    rows = [[*r[:6], 100.0 + k, *r[7:-1], f"f{k}"] for k in (2, 0, 1) for r in B.make("BTCUSDT", 3)]
+    merge_bars(spark, B.frame(spark, rows), table, 0, ["source_path"])
+    assert [r.close for r in spark.read.parquet(table).collect()] == [102.0] * 3
+    merge_bars(spark, B.frame(spark, [[*r[:6], r[6] + 10, *r[7:]] for r in rows]), table, 1, ["source_path"])
+    assert [r.close for r in spark.read.parquet(table).collect()] == [112.0] * 3
+
+
 def test_windowed_bars(spark, tmp_path):
     src = str(tmp_path / "ev")
     spark.createDataFrame([("2024-01-01 00:05:00", "a", 1.0), ("2024-01-01 00:55:00", "a", 3.0), ("2024-01-01 01:10:00", "a", 2.0), ("2024-01-01 05:00:00", "b", 2.0)], "ts string, symbol string, value double").selectExpr("cast(ts as timestamp) ts", "symbol", "value").coalesce(1).write.parquet(src)
