@@ -1,38 +1,25 @@
-"""Shared helpers: the folder that all machines see, tables that cut lineage, and word rules."""
+"""Shared helpers: what goes to the executors, columns beside the text, memory of Python workers, and word rules."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import os
 import tempfile
-import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session's spark.checkpoint.dir. Only where that is unset (tests on one machine) a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path is None:
-        path = tempfile.mkdtemp(prefix="marlstone-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path
-
+from marlstone.operators.tables import materialize, new_path, shared_dir
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["materialize", "new_path", "shared_dir"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table in the shared folder and reads it: lineage is cut, and lost executors cost no work that was done."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 #: Most rows and bytes of an Arrow batch: whole texts go to Python, so batches of rows alone would have no bound.
@@ -71,6 +58,35 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches of at most so many rows: what a task makes of whole texts is held for a slice at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def like(rows: DataFrame, more: str) -> T.StructType:
+    """rows' doc_id, whatever its type, and the columns of a DDL string."""
+    return T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *T._parse_datatype_string(more).fields])
+
+
+def released(run: Callable) -> Callable:
+    """A function over a task's batches, after which the Python worker, which goes on to other tasks, gives its free memory back."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import pyarrow
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """The name, with as many underscores as it takes not to be one of the columns'."""
     taken = {c.lower() for c in docs.columns}

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -7,6 +8,7 @@ import sentencepiece
 from shared import make
 
 from marlstone.llm import sentencepieces
+from marlstone.llm.wordtable import WordTable, pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 TRICKY = ["", " ", "  ", "a", " a", "a ", "a  b", "  a   b  ", "\n", "a\nb", "\t x", "▁", "a▁b", "▁▁x", " ▁ ", "漢字", "\U0001f600\U0001f601", "x\x00y", "\x85\xa0 z", "é" * 50, "ab" * 300, "a" * 1000, "<s>", "</s> <unk>", "<0x41>", "İstanbul ǅ", "aaaa bbbb  aaaa"]
@@ -20,21 +22,42 @@ def library():
 def test_agenda_equals_library(library, corpus):
     texts = TRICKY + [t for _, t in corpus if t]
     model = sentencepieces.Model(PATH)
-    for t, ids in zip(texts, model.encode(texts), strict=True):
+    ids, n = model.encode(texts)
+    for t, ids in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
         assert ids.tolist() == library.encode(t, add_bos=True, add_eos=True), t
         assert model.decode(ids) == library.decode(ids.tolist())
 
 
 def test_words_alone_equal_library(library):
     model = sentencepieces.Model(PATH)
-    for t in TRICKY:
-        ours = [i for w in model.words(t) for i in model.word_ids("▁" + w)]
-        assert ours == library.encode(t), t
+    words = ["▁the", "▁▁x", "▁", "▁aaaa", "▁漢字", "▁é\U0001f600", "▁" + "ab" * 100, "▁incomprehensibilities", "▁x\x00y"]
+    ids, n = model.word_ids(words)
+    for w, own in zip(words, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert own.tolist() == model._symbols(model.merge(w)), w
+        if w != "▁":
+            assert own.tolist() == library.encode(w[1:]), w
+
+
+def test_a_full_table_changes_nothing(library):
+    model, table = sentencepieces.Model(PATH), WordTable(64)
+    for seed in range(30):
+        words = ["".join(random.Random(k).choices("abcdeé ", k=k % 40)) for k in range(seed, seed + 90, 3)]
+        ids, n = model.encode([" ".join(words), *words], table)
+        assert ids.tolist() == [i for t in (" ".join(words), *words) for i in library.encode(t, add_bos=True, add_eos=True)]
+        assert table.n <= 64
+
+
+def test_texts_in_pieces(library):
+    texts = ["ab cd  e " * 3000, "", "x" * 9000 + " y", "漢 字 " * 2000]
+    raw = [t.encode() for t in texts]
+    held = [x for some in pieces(raw, 1000) for x in some]
+    assert [b"".join(p for k, p, _ in held if k == i) for i in range(4)] == raw and [k for k, _, first in held if first] == [0, 1, 2, 3]
+    assert max(len(p) for k, p, _ in held if k == 0) < 1100
 
 
 def test_difference_from_the_library_is_an_error(library):
     model = sentencepieces.Model(PATH)
-    model.ids["▁the"] = 5
+    model.agenda.result[model.agenda.result == model.ids["▁the"]] = 5
     with pytest.raises(ValueError, match="differ"):
         model.encode(["the thing that is in there"])
 
