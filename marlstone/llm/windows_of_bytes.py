@@ -7,11 +7,9 @@ lie at the same place beside equal anchors. Positions are taken in blocks, so me
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 
-from marlstone.llm.bytewords import mix, range_hashes
+from marlstone.llm.bytewords import range_hashes
 
 LENGTH, GRAM = 200, 64
 BLOCK = 1 << 20
@@ -30,9 +28,7 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, context hash, first window, number of windows) of each run of windows with one anchor.
-
-    The context is all bytes under the run's windows and the anchor's place in them: equal contexts hold equal windows."""
+    """(anchor hash, anchor's place in the run, first window, number of windows) of each run of windows with one anchor."""
     out: list[tuple] = []
     width = length - gram + 1
     for b in range(0, max(0, len(data) - length + 1), BLOCK):
@@ -43,16 +39,39 @@ def runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         n = np.diff(np.r_[first, len(anchor)])
         q = anchor[first]
-        context = mix(range_hashes(part, first, first + n + length - 1) ^ mix((q - first).astype(np.uint64)))
-        out.append((h[q], context, first + b, n))
+        out.append((h[q], q - first, first + b, n))
     if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def window_hashes(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    at = np.arange(len(data) - length + 1)
-    return range_hashes(data, at, at + length)
+def repeated(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which of the windows that start at `at` have their bytes in common with another of their group.
+
+    Most-significant-digit passes over eight bytes at a time: a pass splits each group by the next digit, and groups of one are done. The last
+    eight bytes are the second digit: they tell windows apart that share a beginning. Groups that agree in a digit stay as they are."""
+    eight = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    twice = np.zeros(len(at), bool)
+    order = np.argsort(group, kind="stable")
+    edge = np.flatnonzero(np.r_[True, group[order][1:] != group[order][:-1]])
+    for digit in (0, length - 8, *range(8, length - 8, 8)):
+        size = np.diff(np.r_[edge, len(order)])
+        live = np.repeat(size > 1, size)
+        order, size = order[live], size[size > 1]
+        if not len(order):
+            return twice
+        edge = np.cumsum(size) - size
+        value = eight[at[order] + digit].astype(np.uint64)
+        differ = np.logical_or.reduceat(value != np.repeat(value[edge], size), edge)
+        if differ.any():
+            own = np.repeat(np.arange(len(size)), size)
+            some = np.flatnonzero(differ[own])
+            put = some[np.lexsort((value[some], own[some]))]
+            order[some], value[some] = order[put], value[put]
+            edge = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (value[1:] != value[:-1])])
+    size = np.diff(np.r_[edge, len(order)])
+    twice[order[np.repeat(size > 1, size)]] = True
+    return twice
 
 
 def union(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,9 +88,3 @@ def kept(data: bytes, first: np.ndarray, last: np.ndarray) -> bytes:
     """What lies outside the spans, which don't touch."""
     edges = np.concatenate([[0], np.stack([first, last], axis=1).ravel(), [len(data)]]).astype(np.int64)
     return b"".join(data[a:z] for a, z in zip(edges[::2], edges[1::2], strict=True))
-
-
-def each_group(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    """[first, last) of each run of equal keys."""
-    edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else np.empty(0, np.int64)
-    return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
