@@ -12,7 +12,9 @@ shingles of a class and its size bound what it can share (see _open_pairs), whic
 large group of copies costs its size and not its square. All candidates are confirmed on their full sets.
 
 Null, empty and blank texts have no shingles and no links; a text of fewer words than SHINGLE is one shingle. Rows with the same doc_id are one
-node. Rows with a null id have a null component and are kept. Other columns, whatever their names, play no part.
+node. Rows with a null id have a null component and are kept. Ids are of any type that Spark orders; a component is named by the least. Ties
+in hash values are equal values of a signature; ties for a bucket's lead go to the later class. Very long texts are taken whole, their shingles
+in numpy. An empty table gives no rows. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Hashes, documents, fast_words, materialize
+from marlstone.llm.common import Hashes, documents, fast_words, like, materialize, released
 from marlstone.llm.components import components
 
 PERMUTATIONS, ROWS, BANDS, PERCENT = 100, 5, 40, 80
@@ -51,7 +54,8 @@ def shingles(words: list[bytes], n: int, hashes: Hashes) -> np.ndarray:
     total = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
         total += h[k : len(h) - n + 1 + k] * POWERS[k]
-    return np.unique(mix(total + np.uint64(n)))
+    out = np.sort(mix(total + np.uint64(n)))
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def min_max(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +76,17 @@ def _class(s: np.ndarray) -> str:
 
 
 def _signatures(n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            sets = [shingles(fast_words(t), n, hashes) for t in b["text"]]
-            keys = [band_keys(*min_max(s)).astype(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "cls": [_class(s) for s in sets], "bands": keys})
+            sets = [shingles(fast_words(t), n, hashes) for t in b.column("text").to_pylist()]
+            keys = [band_keys(*min_max(s)).astype(np.int64) for s in sets if len(s)]
+            ends = pa.array(np.r_[0, np.cumsum([BANDS * (len(s) > 0) for s in sets])].astype(np.int32))
+            bands = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+            cols = {"doc_id": b.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array([_class(s) for s in sets], pa.string()), "bands": bands}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return run
+    return released(run)
 
 
 def _sets(n: int):
@@ -90,7 +97,7 @@ def _sets(n: int):
                 sets = [shingles(fast_words(t), n, hashes) for t in b["text"].iloc[i : i + 256]]
                 yield pd.DataFrame({"cls": [_class(s) for s in sets], "items": [s.astype(np.int64) for s in sets]})
 
-    return run
+    return released(run)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -127,7 +134,7 @@ def _open_pairs(placed: DataFrame, leads: DataFrame, sets: DataFrame, percent: i
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     rows = documents(docs, id_col, text_col)
-    signed = materialize(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(_signatures(shingle), "doc_id long, n_shingles long, cls string, bands array<long>"), "signatures")
+    signed = materialize(rows.mapInArrow(_signatures(shingle), like(rows, "n_shingles long, cls string, bands array<long>")), "signatures")
     live = signed.where("n_shingles > 0 and doc_id is not null")
     classes = live.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     banded = classes.select("cls", "n", F.explode("bands").alias("key"))
@@ -138,7 +145,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, i
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     wanted = weights.select("cls").join(classes.select("cls", "rep"), "cls")
-    texts = rows.withColumn("rep", F.col("doc_id").cast("long")).join(wanted.select("rep").distinct(), "rep", "left_semi")
+    texts = rows.withColumnRenamed("doc_id", "rep").join(wanted.select("rep").distinct(), "rep", "left_semi")
     sets = materialize(texts.mapInPandas(_sets(shingle), "cls string, items array<long>").dropDuplicates(["cls"]), "sets")
 
     leads = members.groupBy("key").agg(F.max(F.struct("weight", "cls", "n")).alias("lead"))
@@ -162,6 +169,7 @@ def query(spark, sf: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf: str) -> DataFrame:
-    """Pipeline: of each group of near-duplicates the document with the smallest id stays."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
+    """Pipeline: of each group of near-duplicates the row with the smallest id stays, of rows with one id and one text the first. Rows without
+    an id stay."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
