@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import recurrent
 from marlstone.llm.bytewords import words
-from marlstone.llm.common import documents, materialize
+from marlstone.llm.common import documents, like, materialize, released
 from marlstone.llm.recurrent import HEAD, SHAPES, Network
 
 FOLDS, HELD_OUT = 5, 1
@@ -116,23 +117,23 @@ def with_ends(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return out, word, n + 1
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Rows of several batches together, some SLICE bytes or one batch of more: many texts at once keep the network's lanes full."""
     held, size = [], 0
     for b in batches:
-        if not len(b):
+        if not b.num_rows:
             continue
         held.append(b)
-        size += int(b["text"].str.len().sum())
+        size += b.column("text").nbytes
         if size >= SLICE:
-            yield pd.concat(held, ignore_index=True)
+            yield pa.Table.from_batches(held)
             held, size = [], 0
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield pa.Table.from_batches(held)
 
 
 def _train(lexicon, params, rate: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, seen = lexicon.value, 0
         net = Network({k: v.copy() for k, v in recurrent.unflat(params.value).items()}, rate)
         held, ns, size = [], [], 0
@@ -143,7 +144,7 @@ def _train(lexicon, params, rate: float):
                 pass
 
         for part in _slices(batches):
-            ks, n = keys(list(part["text"]))
+            ks, n = keys(part.column("text").to_pylist())
             held.append(lex.ids_of(ks, lex.find(ks)))
             ns.append(n)
             size += len(ks) + len(n)
@@ -156,9 +157,9 @@ def _train(lexicon, params, rate: float):
             if net.steps >= UPDATES:
                 break
         if seen:
-            yield pd.DataFrame({"tokens": [seen], "values": [recurrent.flat(net.p).astype(np.float64)]})
+            yield pa.RecordBatch.from_pydict({"tokens": pa.array([seen], pa.int64()), "values": pa.array([recurrent.flat(net.p).astype(np.float64)], pa.list_(pa.float64()))})
 
-    return run
+    return released(run)
 
 
 def train(docs: DataFrame, lexicon, counts: np.ndarray) -> np.ndarray:
@@ -167,7 +168,7 @@ def train(docs: DataFrame, lexicon, counts: np.ndarray) -> np.ndarray:
     part = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(16))
     for own, rate in zip(ROUNDS, RATES, strict=True):
         handle = spark.sparkContext.broadcast(values)
-        learnt = docs.where(part.isin(*own)).select("text").mapInPandas(_train(lexicon, handle, rate), "tokens long, values array<double>")
+        learnt = docs.where(part.isin(*own)).select("text").mapInArrow(_train(lexicon, handle, rate), "tokens long, values array<double>")
         each = learnt.select("tokens", F.posexplode("values").alias("i", "v"))
         mean = each.groupBy("i").agg((F.sum(F.col("v") * F.col("tokens")) / F.sum("tokens")).alias("v")).toPandas()  # a row per parameter
         if len(mean):
@@ -179,11 +180,11 @@ def train(docs: DataFrame, lexicon, counts: np.ndarray) -> np.ndarray:
 def _score(lexicon, params, tails: tuple[np.ndarray, np.ndarray], ends: int, total: float):
     """total: N + 0.5 * (V + 1). Words outside the lexicon are left in `rest`, with how often each occurs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, net = lexicon.value, Network(recurrent.unflat(params.value))
         mass = np.log10(tails[0] + 0.5 * (tails[1] + 1))
         for part in _slices(batches):
-            ks, n = keys(list(part["text"]))
+            ks, n = keys(part.column("text").to_pylist())
             at = lex.find(ks)
             ids, word, lengths = with_ends(lex.ids_of(ks, at), n)
             lp = np.empty(len(ids))
@@ -200,16 +201,19 @@ def _score(lexicon, params, tails: tuple[np.ndarray, np.ndarray], ends: int, tot
             lp[tail] -= mass[ids[tail] - HEAD]
             lp[word] += np.where(ids[word] >= HEAD, own, 0.0)
             first = np.cumsum(lengths) - lengths
-            out = {"doc_id": part["doc_id"].values, "held_out": part["held_out"].values, "n_tokens": lengths}
+            out = {"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": pa.array(lengths)}
             for name, v in (("n_known", known.astype(np.int64)), ("base_score", base), ("score", lp)):
-                out[name] = np.add.reduceat(v, first)
+                out[name] = pa.array(np.add.reduceat(v, first))
             owner = np.repeat(np.arange(len(n)), n)[~seen]
             away = ks[~seen].view(np.int64)
             cut = np.searchsorted(owner, np.arange(len(n) + 1))
             rest = [np.unique(away[i:j], return_counts=True) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            yield pd.DataFrame(out | {"rest": [r[0] for r in rest], "times": [r[1] for r in rest]})
+            bounds = pa.array(np.r_[0, np.cumsum([len(r[0]) for r in rest])].astype(np.int32))
+            for name, j in (("rest", 0), ("times", 1)):
+                out[name] = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([r[j] for r in rest]).astype(np.int64)))
+            yield from pa.table(out).to_batches()
 
-    return run
+    return released(run)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,9 +245,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lexicon = spark.sparkContext.broadcast(lex)
     params = spark.sparkContext.broadcast(train(training, lexicon, by_id))
     total = n + 0.5 * (v + 1)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<long>, times array<long>"
-    scored = materialize(rows.mapInPandas(_score(lexicon, params, (tails[0], tails[1]), ends, total), schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    schema = "held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<long>, times array<long>"
+    scored = materialize(rows.mapInArrow(_score(lexicon, params, (tails[0], tails[1]), ends, total), like(rows, schema)).withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("k"), F.col("x.times").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))
     sums = rest.join(counts, "k", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 0.5)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"))
