@@ -3,7 +3,8 @@
 Every version of a text is a blob, named by its SHA-256. The ledger holds which rules, in which version, have scanned which blob and what
 they found. A scan reads only blobs and rules that the ledger lacks, once per blob however many paths hold it, appends to the ledger, and
 joins its findings back to all rows. Null and empty texts are the empty blob and find nothing. Rows with one id are versions; each gets its
-own findings. Ties and repeated rows give one result row each; extra columns play no part.
+own findings. Ties, repeated rows and null ids give one result row each. Very long texts are scanned whole, in time that grows with their length.
+An empty table adds nothing and gives no rows. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import documents, new_path, sha256_hex
+from marlstone.llm.common import documents, new_path, released, sha256_hex
 
 
 class Rule(NamedTuple):
@@ -65,7 +66,7 @@ def _scan_batches(rules: tuple[Rule, ...]):
             spans = [[dict(zip(("kind", "rule", "start", "end"), s, strict=True)) for s in scan(t, tuple(by_key[k] for k in todo))] for t, todo in zip(b["text"], b["todo"], strict=True)]
             yield pd.DataFrame({"blob": b["blob"], "rules": b["todo"], "spans": spans})
 
-    return run
+    return released(run)
 
 
 def update_ledger(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> str:
