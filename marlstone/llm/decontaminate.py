@@ -4,9 +4,11 @@ The automaton holds every run of words of every item. A document's words stream
 that ends there and occurs in an item is known. Where it reaches WINDOW, the last WINDOW words are a window of an item; an item with fewer
 words is a window of its own, marked at the state that holds all of it. All words of such occurrences are hit.
 
-Items are dealt into blocks of at most BLOCK_WORDS words (one item's length more at most), and each block's automaton is broadcast by itself,
-so what a broadcast holds is bounded whatever the benchmark's size; documents pass once per block. Null and empty texts have no words.
-Repeated rows and null ids give a row each; items with null or empty texts never occur.
+Items are dealt into blocks of at most BLOCK_WORDS words (one item's length more at most). One block at a time is collected and broadcast, so
+what the driver and a task hold is bounded whatever the benchmark's size; documents pass once per block. Null and empty texts have no words.
+Repeated rows and null ids give a row each; items with null or empty texts never occur, and the words of one without an id are hit like all
+others but add nothing to the items found. Items with the same words all occur. Very long texts are taken whole; their time grows with their
+length. An empty table gives no rows, an empty benchmark no hits. Other columns, whatever their names, are handed on as they are.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import LOWER, UPPER, beside, documents, last, put_back, ship
+from marlstone.llm.common import LOWER, UPPER, beside, documents, last, materialize, new_path, put_back, released, ship, slices
 
 WINDOW, BLOCK_WORDS = 10, 200_000
 #: A document is dropped when more than this share of its words is hit.
@@ -89,13 +91,13 @@ class Automaton:
         full: dict[int, set] = {}
         short: dict[int, dict[int, set]] = {}
         for item, ws in items:
-            state = 0
+            state, named = 0, () if item is None else (item,)
             for n, w in enumerate(ws, 1):
                 state = self.next[state][w]
                 if n >= self.window:
-                    full.setdefault(self._holder(state, self.window), set()).add(item)
+                    full.setdefault(self._holder(state, self.window), set()).update(named)
             if 0 < len(ws) < self.window:
-                short.setdefault(self._holder(state, len(ws)), {}).setdefault(len(ws), set()).add(item)
+                short.setdefault(self._holder(state, len(ws)), {}).setdefault(len(ws), set()).update(named)
         self.full = full
         # for each state, the short items among the suffixes of its strings: (words, items), longest first
         self.short: list[tuple] = [()] * len(self.length)
@@ -140,17 +142,20 @@ class Automaton:
         return [tuple(s) for s in spans], items, most
 
 
-def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[str, list[str]]]]:
-    """Blocks of (item id as text, words), one at a time; an item's block follows from the words of the items before it."""
+def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[str | None, list[str]]]]:
+    """Blocks of (item id as text, words), one at a time; an item's block follows from the words of the items before it. The driver holds one block."""
     rows = documents(benchmark, id_col, text_col).select(F.col("doc_id").cast("string").alias("item"), "text", F.xxhash64("doc_id", "text").alias("h"))
     # a sum per bucket of the hash, and one within it, put items in blocks without ordering all of them in one task
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(4096))).withColumn("n", F.length("text") / 2)
     sums = rows.groupBy("bucket").agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("h", "item").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     placed = rows.join(F.broadcast(sums), "bucket").withColumn("block", F.floor((inside + F.col("before")) / block_words))  # at most 4096 sums
-    for k in sorted(r[0] for r in placed.select("block").distinct().collect()):
-        items = [(r["item"], words(r["text"])) for r in placed.where(F.col("block") == k).select("item", "text").collect()]
-        yield [(i, w) for i, w in items if w and i is not None]
+    path = new_path(benchmark.sparkSession, "benchmark-blocks")
+    placed.select("block", "item", "text").write.partitionBy("block").parquet(path)
+    blocks = benchmark.sparkSession.read.schema("item string, text string, block long").parquet(path)
+    for k in sorted(r[0] for r in blocks.select("block").distinct().collect()):
+        items = [(r["item"], words(r["text"])) for r in blocks.where(F.col("block") == k).select("item", "text").collect()]  # reads that block's folder
+        yield [(i, w) for i, w in items if w]
 
 
 SPANS = T.ArrayType(T.ArrayType(T.LongType()))
@@ -164,24 +169,38 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType())]
     rows = docs.select(beside(docs, text_col), F.col(f"`{text_col}`").alias("text"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
     schema = T.StructType([rows.schema["rest"], rows.schema["text"], *fields])
-    blocks = list(benchmark_blocks(benchmark, block_words)) or [[]]
-    for handle in [spark.sparkContext.broadcast(items) for items in blocks]:
-        rows = rows.mapInArrow(_pass(handle, window), schema)
+    blocks = benchmark_blocks(benchmark, block_words)
+    handle = spark.sparkContext.broadcast(next(blocks, []))
+    for items in blocks:  # a block's pass ends before the next block is collected; the last one is left to the caller's action
+        rows = materialize(rows.mapInArrow(_pass(handle, window), schema), "decontamination-pass")
+        handle.unpersist()
+        handle = spark.sparkContext.broadcast(items)
+    rows = rows.mapInArrow(_pass(handle, window), schema)
     return put_back(rows, docs, text_col, F.struct(*(f.name for f in fields)), "found")
 
 
+_automata: dict[tuple[int, int], tuple] = {}
+
+
+def automaton(handle, window: int) -> Automaton:
+    """A broadcast block's automaton. A Python worker, which knows each broadcast by one handle, builds it once and keeps the latest one."""
+    if (found := _automata.get((id(handle), window))) is None or found[0] is not handle:
+        _automata.clear()
+        found = _automata[id(handle), window] = (handle, Automaton(handle.value, window))
+    return found[1]
+
+
 def _pass(handle, window: int):
     """One block's automaton over all documents; what earlier blocks found is kept. Other columns pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(handle.value, window)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+        found = automaton(handle, window)
+        for b in slices(batches):
+            if b.num_rows:
                 n, spans, items, longest = [], [], [], []
                 for t, s, i, m in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "items", "longest")), strict=True):
                     ws = words(t)
-                    new_s, new_i, new_m = automaton.match(ws)
+                    new_s, new_i, new_m = found.match(ws)
                     n.append(len(ws))
                     spans.append([list(x) for x in (_union([tuple(x) for x in s], new_s) if s is not None else new_s)])
                     items.append(sorted(new_i.union(i or ())))
@@ -191,7 +210,7 @@ def _pass(handle, window: int):
                     names=["rest", "text", "n_words", "spans", "items", "longest"],
                 )
 
-    return run
+    return released(run)
 
 
 def _union(a: list, b: list) -> list:
@@ -215,7 +234,7 @@ def cut_spans(text: str, spans: list) -> str:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         texts = [cut_spans(t, s) if s else t for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("rest"), pa.array(texts, pa.string()), b.column("hit")], names=["rest", "text", "hit"])
 
@@ -230,14 +249,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     f = last(found)
     kept = found.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct(f.n_words, f.spans, _hit(f.spans).alias("hit")).alias(found.columns[-1])).where((f.hit == 0) | (f.hit <= coverage * f.n_words))
     rows = kept.select(beside(docs, text_col), F.col(f"`{text_col}`").alias("text"), f.spans.alias("spans"), f.hit.alias("hit"))
-    cut = rows.mapInArrow(_cut, T.StructType([rows.schema["rest"], rows.schema["text"], rows.schema["hit"]]))
+    cut = rows.mapInArrow(released(_cut), T.StructType([rows.schema["rest"], rows.schema["text"], rows.schema["hit"]]))
     return put_back(cut, docs, text_col, F.col("hit"), "removed_words")
 
 
 def query(spark, sf: str) -> DataFrame:
     d = find(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet"))
     f, n_hit = last(d), _hit(last(d).spans)
-    return d.select("doc_id", f.n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), f.longest.alias("longest_match"))
+    return d.select("doc_id", f.n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(f["items"], ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def stage(spark, docs: DataFrame, sf: str) -> DataFrame:

@@ -101,3 +101,18 @@ def test_whole_table(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = sorted((False, r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontaminate.query(spark, sf).collect())
     assert got == brute(rows, items) and any(r[3] for r in got)
+
+
+def test_items_without_an_id_are_hit_but_not_named(spark):
+    docs = make(spark, [(1, "a b c d e f g h i j k l"), (2, "x y")])
+    assert [r[2:5] for r in run(spark, docs, [(None, "c d e f g h i j k l"), (4, "x y"), (None, "y")])] == [(12, 10, 0), (2, 2, 1)]
+
+
+def test_benchmark_with_clashing_columns_and_blocks_one_at_a_time(spark, items):
+    from pyspark.sql import functions as F
+
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    more = bench.withColumns({c: F.lit(c) for c in ("item", "doc_id", "h", "n", "bucket", "before", "block")})
+    docs = make(spark, [(1, items[4][1])])
+    got = [decontaminate.find(docs, b, block_words=50).collect() for b in (bench, more)]
+    assert got[0] == got[1] and len(list(decontaminate.benchmark_blocks(more, 50))) > 3
