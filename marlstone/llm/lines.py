@@ -2,7 +2,8 @@
 
 Lines end at line feeds; their words are the bytes between ASCII white space, A-Z lowered. Lines without words always stay. An edit
 counts between lines of MIN_WORDS words or more: in shorter ones it is over a quarter of the line, and any two lines of one word are an edit apart.
-Earlier means a smaller (id, row, line number), null ids first; an earlier line counts whether it stays itself or not.
+Earlier means a smaller (id, hash of the text's lines, line number), null ids first, so how rows fall on tasks decides nothing; of rows that
+are equal in all of these either may keep its lines. An earlier line counts whether it stays itself or not.
 
 Equal lines are found by their hash. For the others, the deletion neighbourhood of a line is the line itself and every variant with one word left
 out, each as a hashed key. Two lines of n words that give the same variant without word i differ in that word alone; a line of n + 1 words with a
@@ -12,8 +13,8 @@ other, and the key's earliest is the only witness needed; no pairs are made. Wit
 Only lines that can have a neighbour emit variants: one edit leaves the first or the second half of a line as it was, so a line whose halves (three
 keys, which take care of lines of n and n + 1 words) no other distinct line has can't have one.
 
-Null texts stay null and empty ones empty. A text all of whose lines go becomes empty. Repeated rows: the first keeps its lines. Other columns
-are handed on as they are.
+Null texts stay null and empty ones empty. A text all of whose lines go becomes empty. Repeated rows: one keeps its lines. Very long texts are
+taken whole, and an empty table gives no rows. Other columns, whatever their names, are handed on as they are.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.bytewords import mix, words
-from marlstone.llm.common import beside, last, materialize, put_back, ship
+from marlstone.llm.common import beside, last, materialize, put_back, released, ship, slices
 
 MIN_WORDS = 4
 _Q = 0xD6E8FEB86659FD93
@@ -77,9 +78,8 @@ def _describe(min_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+        for b in slices(batches):
+            if b.num_rows:
                 texts = b.column("text").to_pylist()
                 split = [t.split("\n") if t is not None else [] for t in texts]
                 count = np.array([len(s) for s in split])
@@ -97,7 +97,7 @@ def _describe(min_words: int):
                 arrays = [pa.ListArray.from_arrays(offsets, pa.array(v, mask=n < min_words if c.startswith("k") else None)) for c, v in cols.items()]
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rest"), packed, *arrays], names=["id", "rest", "packed", *cols])
 
-    return run
+    return released(run)
 
 
 def _unpacked(packed: bytes, z: zstandard.ZstdDecompressor) -> list[str]:
@@ -142,7 +142,7 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in slices(batches):
         texts, lines_, gone_ = [], [], []
         for packed, gone in zip(b.column("packed").to_pylist(), b.column("gone").to_pylist(), strict=True):
             lines, out = _unpacked(packed, z) if packed is not None else [], set(gone or ())
@@ -159,26 +159,26 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     base = docs.select(q(id_col).alias("id"), beside(docs, text_col), q(text_col).alias("text"))
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([base.schema["id"], base.schema["rest"], T.StructField("packed", T.BinaryType()), T.StructField("line", T.ArrayType(T.IntegerType())), *(T.StructField(c, longs) for c in ("h", "k1", "k2", "k3"))])
-    packed = materialize(base.mapInArrow(_describe(min_words), schema).withColumn("row", F.monotonically_increasing_id()), "packed-lines")
+    packed = materialize(base.mapInArrow(_describe(min_words), schema).withColumns({"row": F.monotonically_increasing_id(), "content": F.xxhash64("h")}), "packed-lines")
 
-    order = F.struct("id", "row", "line")
-    lines = packed.select("id", "row", F.explode(F.arrays_zip("line", "h")).alias("x")).select("id", "row", "x.line", "x.h")
+    order = F.struct("id", "content", "row", "line")
+    lines = packed.select("id", "content", "row", F.explode(F.arrays_zip("line", "h")).alias("x")).select("id", "content", "row", "x.line", "x.h")
     firsts = materialize(lines.groupBy("h").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("times")), "distinct-lines")
 
     halves = packed.select(F.explode(F.arrays_zip("h", "k1", "k2", "k3")).alias("x")).where("x.k1 is not null").select("x.h", F.explode(F.array("x.k1", "x.k2", "x.k3")).alias("k"))
     shared = materialize(halves.groupBy("k").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("k"), "shared-halves")
     near = materialize(firsts.join(halves.join(shared, "k", "left_semi").select("h").distinct(), "h", "left_semi"), "near-lines")
     wanted = near.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("h", F.col("first.line").alias("line"))).alias("wanted"))
-    texts = materialize(packed.select("row", "packed").join(wanted, "row").mapInPandas(_texts_of_lines, "h long, words string"), "near-line-texts")
+    texts = materialize(packed.select("row", "packed").join(wanted, "row").mapInPandas(released(_texts_of_lines), "h long, words string"), "near-line-texts")
 
-    variants = materialize(texts.mapInPandas(_variants, "key long, kind int, h long"), "line-variants")
+    variants = materialize(texts.mapInPandas(released(_variants), "key long, kind int, h long"), "line-variants")
     met = variants.groupBy("key").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("key")
     met = materialize(variants.join(met, "key", "left_semi").join(near.select("h", "first"), "h"), "met-variants")
     earliest = lambda k: F.min(F.when(F.col("kind") == k, F.struct("first", "h")))
     leads = materialize(met.groupBy("key").agg(*(earliest(k).alias(f"e{k}") for k in range(3))), "leads")
     witness = met.join(leads, "key").select("h", "first", F.when(F.col("kind") == 0, F.col("e0")).when(F.col("kind") == 1, F.col("e2")).otherwise(F.col("e1")).alias("e")).where("e.h <> h and e.first < first")
     witness = witness.groupBy("h").agg(F.min("e").alias("e")).select("h", F.col("e.h").alias("w"))
-    witness = witness.join(texts, "h").join(texts.select(F.col("h").alias("w"), F.col("words").alias("other")), "w").mapInPandas(_verified, "h long, w long")
+    witness = witness.join(texts, "h").join(texts.select(F.col("h").alias("w"), F.col("words").alias("other")), "w").mapInPandas(released(_verified), "h long, w long")
     near_first = witness.join(near.select(F.col("h").alias("w"), F.col("first").alias("near_first")), "w").select("h", "near_first")
 
     bounds = firsts.join(near_first, "h", "left").where("times > 1 or near_first is not null").select("h", F.least("first", F.coalesce("near_first", "first")).alias("bound"))
@@ -186,7 +186,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     gone = lines.join(bounds, "h").where(F.col("bound") < order).groupBy("row").agg(F.collect_list("line").alias("gone"))
     out = packed.select("row", "rest", "packed").join(gone, "row", "left").select("rest", "packed", "gone")
     result = T.StructType([base.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    cut = out.mapInArrow(_without, result)
+    cut = out.mapInArrow(released(_without), result)
     return put_back(cut, docs, text_col, F.struct("n_lines", "n_removed"), "line_counts")
 
 
