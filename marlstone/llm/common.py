@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import hashlib
 import os
 import tempfile
 import zipfile
@@ -111,22 +110,3 @@ def last(df: DataFrame) -> Column:
 
 def sha256_hex(value: Column) -> Column:
     return F.sha2(value, 256)
-
-
-def fast_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z lowered. bytes.split() cuts at exactly 20, 09 to 0D."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-class Hashes(dict):
-    """64-bit BLAKE2 hashes of byte strings, remembered up to a bound."""
-
-    def __init__(self, most: int = 400_000) -> None:
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, key: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        v = self[key] = int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little")
-        return v

@@ -16,7 +16,9 @@ a number per language and bucket seen. The declarations' and hosts' tables are c
 grouped aggregation.
 
 Null text, url, host and declaration count as empty; an empty declaration is one of its own. Texts without letters are UNKNOWN and rejected.
-Repeated rows and ties give a row each; a tie goes to the language first in the alphabet. Other columns are handed on as they are.
+Repeated rows and ties give a row each; a tie goes to the language first in the alphabet. Very long texts are taken in blocks, and an empty
+table gives no rows. Other columns, whatever their names, are handed on as they are. Sources without a full stop, as those of `documents`,
+have no suffix and are their own domain; pages have all three levels.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import beside, last, materialize, put_back, ship
+from marlstone.llm.common import beside, last, materialize, put_back, released, ship, slices
 
 BUCKETS, EVIDENCE, LEAST = 1 << 13, 60, 0.5
 LABELLED = BUCKETS // 2
 #: Languages whose counts a task holds at once, and terms of a likelihood that are added up at once.
-HELD, TERMS = 256, 1 << 20
+HELD, TERMS = 256, 1 << 18
 UNKNOWN, UNKNOWN_PRIOR, SMOOTH = "und", 1e-9, 20.0
 BLOCK = 1 << 18
 RESULT = ("text_language", "language", "posterior", "letters", "accepted")
@@ -102,7 +104,7 @@ class Model:
 
 def fit(labelled: DataFrame, least: int = LABELLED) -> tuple[list[str], Model]:
     """(classes, model), UNKNOWN last, from all rows of (text, declared)."""
-    rows = labelled.where("declared <> ''").select("text", "declared").mapInPandas(_count, "declared string, bucket int, n long")
+    rows = labelled.where("declared <> ''").select("text", "declared").mapInPandas(released(_count), "declared string, bucket int, n long")
     rows = rows.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).groupBy("declared").agg(F.sum("n").alias("n"), F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts"))
     each = materialize(rows.where(F.col("n") >= least), "language-trigrams")
     found = {r.declared: (np.array(r.buckets, np.int32), np.array(r.counts, np.int64)) for r in each.toLocalIterator()}  # a row per language
@@ -127,14 +129,14 @@ def _decide(model):
             said = [_loglik(t, model.value) for t in b["text"]]
             yield b.drop(columns="text").assign(best=np.array([np.argmax(x) if own else len(x) - 1 for x, own in said], np.int32))
 
-    return run
+    return released(run)
 
 
 def _fuse(model, classes: list[str]):
     """The posterior of each row, from its text, the prior of its host and what its declaration says. Other columns pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t, prior, says in zip(b.column("text").to_pylist(), b.column("prior").to_pylist(), b.column("says").to_pylist(), strict=True):
                 x, own = _loglik(t or "", model.value)
@@ -146,7 +148,7 @@ def _fuse(model, classes: list[str]):
             cols = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column("rest"), b.column("text"), *cols], names=["rest", "text", *RESULT])
 
-    return run
+    return released(run)
 
 
 def host_parts(host: Column) -> tuple[Column, Column]:

@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import Hashes, documents, fast_words, like, materialize, released
+from marlstone.llm.bytewords import mix, words
+from marlstone.llm.common import documents, like, materialize, released, slices
 from marlstone.llm.components import components
 
 PERMUTATIONS, ROWS, BANDS, PERCENT = 100, 5, 40, 80
@@ -38,19 +39,21 @@ B = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 POWERS = _RANDOM.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles."""
+    found, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for _, _, _, owner, h in words(texts):
+        found.append(h)
+        owners.append(owner)
+    h = np.concatenate(found)
+    ends = np.cumsum(np.bincount(np.concatenate(owners), minlength=len(texts)))
+    return [_shingles(h[a:z], n) for a, z in zip(np.r_[0, ends[:-1]], ends, strict=True)] if texts else []
 
 
-def shingles(words: list[bytes], n: int, hashes: Hashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = min(n, len(words))
+def _shingles(h: np.ndarray, n: int) -> np.ndarray:
+    if not len(h):
+        return h
+    n = min(n, len(h))
     total = np.zeros(len(h) - n + 1, np.uint64)
     for k in range(n):
         total += h[k : len(h) - n + 1 + k] * POWERS[k]
@@ -77,9 +80,8 @@ def _class(s: np.ndarray) -> str:
 
 def _signatures(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for b in batches:
-            sets = [shingles(fast_words(t), n, hashes) for t in b.column("text").to_pylist()]
+        for b in slices(batches):
+            sets = shingle_sets(b.column("text").to_pylist(), n)
             keys = [band_keys(*min_max(s)).astype(np.int64) for s in sets if len(s)]
             ends = pa.array(np.r_[0, np.cumsum([BANDS * (len(s) > 0) for s in sets])].astype(np.int32))
             bands = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
@@ -91,10 +93,9 @@ def _signatures(n: int):
 
 def _sets(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
         for b in batches:
             for i in range(0, len(b), 256):
-                sets = [shingles(fast_words(t), n, hashes) for t in b["text"].iloc[i : i + 256]]
+                sets = shingle_sets(list(b["text"].iloc[i : i + 256]), n)
                 yield pd.DataFrame({"cls": [_class(s) for s in sets], "items": [s.astype(np.int64) for s in sets]})
 
     return released(run)
@@ -169,7 +170,12 @@ def query(spark, sf: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf: str) -> DataFrame:
-    """Pipeline: of each group of near-duplicates the row with the smallest id stays, of rows with one id and one text the first. Rows without
-    an id stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    """Pipeline: of each group of near-duplicates the document with the smallest id stays, once if its row is repeated. Rows without an id stay."""
+    found = materialize(near_duplicates(docs).select("doc_id", "kept"), "near-dedup")
+    gone = found.where("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = materialize(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

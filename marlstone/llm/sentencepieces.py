@@ -5,9 +5,9 @@ on ties; pairs are joined in that order, and each join puts its two new neighbou
 is no piece falls back to its bytes. Many words are taken at once: a row of numpy arrays for each, of which every round joins the pair on top
 of its agenda (Agenda); long words have an agenda in a heap (Model.merge).
 
-White space is written as U+2581, with one more at the start. No piece of such a vocabulary has U+2581 after another character (load() sees
-to that), so no join crosses the start of a run of U+2581, and a text's ids are those of its words. Each Python worker remembers words in a table
-of bounded size (wordtable.py). In every Arrow batch the words that are new are checked against the sentencepiece library; a difference is an error, never a
+White space is written as U+2581, with one more at the start. No piece of such a vocabulary has U+2581 after another character (Model sees
+to that), so no join crosses the start of a run of U+2581, and a text's ids are those of its words. Each task remembers words in a table of bounded
+size (wordtable.py). In every Arrow batch the words that are new are checked against the sentencepiece library; a difference is an error, never a
 silent other result. Decoding is the library's.
 
 Null and empty texts have the begin and end ids alone. Repeated rows, ties and null ids give a row each; ids of any type are handed on as
@@ -303,17 +303,9 @@ class Agenda:
             agenda[at, top[at]] = self._levels(s[at, top[at]], s[at, top[at] + 1])
 
 
-_models: dict[str, Model] = {}
-
-
-def load(path: str) -> Model:
-    """One model for each file in a Python worker, whose table serves its tasks in turn."""
-    return _models.get(path) or _models.setdefault(path, Model(path))
-
-
 def _encode_batches(path: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = load(path)
+        m = Model(path)  # the task's own: with its table it would be a tenth of a worker's memory in all later stages
         for b in slices(batches):
             ids, n = m.encode(b.column("text").to_pylist())
             each = np.split(ids, np.cumsum(n)[:-1]) if len(n) else []

@@ -78,3 +78,14 @@ def test_exact_copy_with_short_lines_goes(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r[0] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 1_000_001 in got and 1_000_002 not in got
+
+
+def test_a_repeated_row_stays_once(spark, sf, corpus):
+    import random
+
+    from shared import prose
+
+    rng = random.Random(12)
+    own = prose(rng, 80)
+    docs = make(spark, [(1, own), (1, own), (2, prose(rng, 80)), (None, prose(rng, 70)), (None, None), (3, own + " x")])
+    assert sorted(r.doc_id or 0 for r in neardup.stage(spark, docs, sf).collect()) == [0, 0, 1, 2]
