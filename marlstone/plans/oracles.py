@@ -156,7 +156,8 @@ _LOADED = 'open_time_ms, close_time_ms, "open", high, low, "close", round(volume
 
 
 def _overall() -> str:
-    return f"""WITH {_summary('model', 'fold, idx')}, {_SHARE}, {_STATUS.removeprefix(_MEMBERS + ', ')},
+    summary = _summary("model", "fold, idx").replace("position * forward_return", "position * (forward_return / 100000)")
+    return f"""WITH {summary}, {_SHARE}, {_STATUS.removeprefix(_MEMBERS + ', ')},
 o AS (SELECT s.*, positive_folds, fold_count, positive_folds / fold_count >= 0.6 AND net_return > 0 AND simple_alpha > 0 AND coalesce(sharpe > 0, false) AS ok FROM summ s JOIN share USING (model))
 SELECT t.model, t.status, CASE WHEN t.missing_features = '' THEN fold_count ELSE 0 END AS folds, CASE WHEN t.missing_features = '' THEN ok ELSE false END AS candidate_screen_pass,
        {', '.join(f"CASE WHEN t.missing_features = '' THEN {v} END AS {n}" for n, v in (("observations", "observations"), ("net_return", "round(net_return, 6) + 0.0"), ("max_drawdown", "round(max_drawdown, 6) + 0.0"), ("turnover", "round(turnover, 6) + 0.0"), ("positive_folds", "positive_folds")))}
@@ -224,6 +225,6 @@ SELECT s.symbol, g.close_time_ms, b."close" FROM g CROSS JOIN (SELECT DISTINCT s
     "source_derivative_bars": f"WITH {_deriv(HOUR)} SELECT upper(symbol) AS symbol, {_LOADED} FROM deriv",
     "source_metrics": f"""WITH {_METRICS} SELECT upper(symbol) AS symbol, timestamp_ms // 1000 * 1000 AS timestamp_ms, round(arg_max(taker_long_short_ratio, timestamp_ms), 8) AS taker_long_short_ratio,
 round(arg_max_null(sum_open_interest_value, timestamp_ms), 8) AS sum_open_interest_value FROM metrics GROUP BY 1, 2""",
-    "source_onchain": f'WITH {_ONCHAIN} SELECT asset, available_time_ms - {DAY} AS metric_time_ms, available_time_ms, "AdrActCnt", "TxCnt", round("FeeTotNtv", 8) AS "FeeTotNtv" FROM oc',
+    "source_onchain": f'WITH {_ONCHAIN} SELECT asset, available_time_ms - {DAY} AS metric_time_ms, available_time_ms, "AdrActCnt", "TxCnt", round("FeeTotNtv", 8) AS "FeeTotNtv" FROM onchain',
     "source_panel_csv": f'WITH {_panel(DAY)} SELECT "timestamp", decision_time_ms, asset, {_round(["forward_return", "benchmark_return", "momentum_1h"], 7)}, target_close_time FROM panel',
 }
