@@ -49,8 +49,9 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 #: Bytes as two hexadecimal digits each, so a string of 200 bytes is one of 400 digits.
 _REPEATS = """WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
-place AS (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM d WHERE length(x) >= 400),
-win AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS s FROM place),
+block AS (SELECT doc_id, b, substr(x, 2 * b + 1, 2 * 699) AS y FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199, 500)) AS b FROM d WHERE length(x) >= 400)),
+place AS (SELECT doc_id, b, y, unnest(range(0, least(500, length(y) // 2 - 199))) AS j FROM block),
+win AS (SELECT doc_id, b + j AS i, md5(substr(y, 2 * j + 1, 400)) AS s FROM place),
 twice AS (SELECT doc_id, i FROM win JOIN (SELECT s FROM win GROUP BY 1 HAVING count(*) > 1) USING (s)),
 edge AS (SELECT doc_id, i, CASE WHEN i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) + 200 THEN 1 ELSE 0 END AS new FROM twice),
 run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge),
