@@ -145,8 +145,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, i
     members = materialize(members.drop("size").join(weights, "cls"), "weighted-buckets")
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    wanted = weights.select("cls").join(classes.select("cls", "rep"), "cls")
-    texts = rows.withColumnRenamed("doc_id", "rep").join(wanted.select("rep").distinct(), "rep", "left_semi")
+    # a table, whose size Spark knows before it plans: while it is under the threshold of broadcasts no text is shuffled
+    wanted = materialize(weights.select("cls").join(classes.select("cls", "rep"), "cls").select("rep").distinct(), "wanted")
+    texts = rows.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
     sets = materialize(texts.mapInPandas(_sets(shingle), "cls string, items array<long>").dropDuplicates(["cls"]), "sets")
 
     leads = members.groupBy("key").agg(F.max(F.struct("weight", "cls", "n")).alias("lead"))
