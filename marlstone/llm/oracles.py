@@ -110,7 +110,16 @@ b AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, la
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls, coalesce(n.n, 0) AS n_repeat_words FROM d LEFT JOIN n USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b"""
 
+_INFILL = """WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+h AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(h, k, 8))::BIGINT) AS d FROM u),
+c AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS z,
+        CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR d[3] % 100 >= 90 THEN 'plain' WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:z], '') AS m, array_to_string(u[z + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
 LLM_ORACLES: dict[str, str] = {
+    "op13_fill_in_middle": _INFILL,
     "op2_minhash_neardup": _NEAR, "op3_decontamination": _ITEMS, "op4_suffix_dedup": _REPEATS, "op5_line_dedup": _LINES, "op7_secret_scan": _SECRETS,
     "lm_base_scores": _BASE_SCORES, "quality_base": _QUALITY,
 }

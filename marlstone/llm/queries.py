@@ -1,4 +1,4 @@
-"""Queries over the ten operators, and SQL for those that SQL can express."""
+"""Queries over the operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import binary_output, decontaminate, language, lines, neardup, quality, scoring, secrets, sentencepieces, suffixes
+from marlstone.llm import alignment, binary_output, decontaminate, infill, language, lines, neardup, permutation, quality, scoring, secrets, sentencepieces, suffixes
 from marlstone.llm.oracles import LLM_ORACLES
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
@@ -23,6 +23,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.query,
     "op9_sentencepiece": sentencepieces.query,
     "op10_binary_output": binary_output.query,
+    "op11_permutation_index": permutation.query,
+    "op12_cross_tokenizer": alignment.query,
+    "op13_fill_in_middle": infill.query,
 }
 
 

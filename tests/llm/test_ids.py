@@ -5,7 +5,7 @@ import pytest
 from shared import make, prose
 
 import corpus_pipeline
-from marlstone.llm import binary_output, decontaminate, language, lines, neardup, quality, scoring, secrets, sentencepieces, suffixes
+from marlstone.llm import alignment, binary_output, decontaminate, infill, language, lines, neardup, quality, scoring, secrets, sentencepieces, suffixes
 
 BIG = 2**53 + 1
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -20,6 +20,7 @@ def _language(d):
 OPERATORS = {
     "op1": scoring.score_documents, "op2": neardup.near_duplicates, "op3": lambda d: decontaminate.find(d, d.selectExpr("doc_id item_id", "text").limit(1)), "op4": suffixes.remove_repeats, "op5": lines.dedup_lines,
     "op6": _language, "op7": secrets.scan_secrets, "op8": quality.quality, "op9": lambda d: sentencepieces.encode_documents(d, PIECES), "op10": lambda d: binary_output.read_documents(d.sparkSession, binary_output.write_ids(d, BYTES)),
+    "op12": lambda d: alignment.cross_align(d, BYTES, PIECES), "op13": infill.fill_in_middle,
 }
 
 
