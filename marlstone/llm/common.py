@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.operators.tables import materialize, new_path, shared_dir
+from marlstone.operators.tables import free, materialize, new_path, owned, shared_dir
 
-__all__ = ["materialize", "new_path", "shared_dir"]
+__all__ = ["free", "materialize", "new_path", "owned", "shared_dir"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

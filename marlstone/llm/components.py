@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialize
+from marlstone.llm.common import free, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,7 +23,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("a"), "m").where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, e = e, materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "links")
+        free(last)
         if (now := _state(e)) == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.bytewords import mix, words
-from marlstone.llm.common import beside, last, materialize, put_back, released, ship, slices
+from marlstone.llm.common import beside, free, last, materialize, put_back, released, ship, slices
 
 MIN_WORDS = 4
 _Q = 0xD6E8FEB86659FD93
@@ -135,9 +135,10 @@ def within_one(a: list[str], b: list[str]) -> bool:
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words of a line are joined by single spaces, whatever other characters they hold."""
     for b in batches:
-        good = [within_one(x.split(), y.split()) for x, y in zip(b["words"], b["other"], strict=True)]
-        yield b.loc[good, ["h", "w"]]
+        good = [within_one(x.split(" "), y.split(" ")) for x, y in zip(b["words"], b["other"], strict=True)]
+        yield b[["h", "w"]].assign(good=good)
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,21 +169,34 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     halves = packed.select(F.explode(F.arrays_zip("h", "k1", "k2", "k3")).alias("x")).where("x.k1 is not null").select("x.h", F.explode(F.array("x.k1", "x.k2", "x.k3")).alias("k"))
     shared = materialize(halves.groupBy("k").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("k"), "shared-halves")
     near = materialize(firsts.join(halves.join(shared, "k", "left_semi").select("h").distinct(), "h", "left_semi"), "near-lines")
+    free(shared)
     wanted = near.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("h", F.col("first.line").alias("line"))).alias("wanted"))
     texts = materialize(packed.select("row", "packed").join(wanted, "row").mapInPandas(released(_texts_of_lines), "h long, words string"), "near-line-texts")
 
     variants = materialize(texts.mapInPandas(released(_variants), "key long, kind int, h long"), "line-variants")
-    met = variants.groupBy("key").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("key")
-    met = materialize(variants.join(met, "key", "left_semi").join(near.select("h", "first"), "h"), "met-variants")
+    keys = variants.groupBy("key").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("key")
+    met = materialize(variants.join(keys, "key", "left_semi").join(near.select("h", "first"), "h"), "met-variants")
+    free(variants)
     earliest = lambda k: F.min(F.when(F.col("kind") == k, F.struct("first", "h")))
     leads = materialize(met.groupBy("key").agg(*(earliest(k).alias(f"e{k}") for k in range(3))), "leads")
-    witness = met.join(leads, "key").select("h", "first", F.when(F.col("kind") == 0, F.col("e0")).when(F.col("kind") == 1, F.col("e2")).otherwise(F.col("e1")).alias("e")).where("e.h <> h and e.first < first")
-    witness = witness.groupBy("h").agg(F.min("e").alias("e")).select("h", F.col("e.h").alias("w"))
-    witness = witness.join(texts, "h").join(texts.select(F.col("h").alias("w"), F.col("words").alias("other")), "w").mapInPandas(released(_verified), "h long, w long")
-    near_first = witness.join(near.select(F.col("h").alias("w"), F.col("first").alias("near_first")), "w").select("h", "near_first")
+    witnesses = met.join(leads, "key").select("h", "first", F.when(F.col("kind") == 0, F.col("e0")).when(F.col("kind") == 1, F.col("e2")).otherwise(F.col("e1")).alias("e")).where("e.h <> h and e.first < first")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(h, w, good) of pairs (h, w)."""
+        both = pairs.join(texts, "h").join(texts.select(F.col("h").alias("w"), F.col("words").alias("other")), "w")
+        return both.mapInPandas(released(_verified), "h long, w long, good boolean")
+
+    checked = materialize(verified(witnesses.groupBy("h").agg(F.min("e").alias("e")).select("h", F.col("e.h").alias("w"))), "witnesses")
+    good, bad = checked.where("good").select("h", "w"), checked.where("not good").select("h").distinct()
+    if not bad.isEmpty():  # keys met though the lines are apart, which takes two equal 64-bit hashes: all earlier lines under these lines' keys
+        other = met.select("key", F.element_at(F.array(F.lit(0), F.lit(2), F.lit(1)), F.col("kind") + 1).alias("kind"), F.col("h").alias("w"), F.col("first").alias("w_first"))
+        others = met.join(bad, "h", "left_semi").join(other, ["key", "kind"]).where("w <> h and w_first < first").select("h", "w").distinct()
+        good = good.unionByName(verified(others).where("good").select("h", "w"))
+    near_first = good.join(near.select(F.col("h").alias("w"), F.col("first").alias("near_first")), "w").groupBy("h").agg(F.min("near_first").alias("near_first"))
 
     bounds = firsts.join(near_first, "h", "left").where("times > 1 or near_first is not null").select("h", F.least("first", F.coalesce("near_first", "first")).alias("bound"))
     bounds = materialize(bounds, "line-bounds")
+    free(near, texts, met, leads, checked, firsts)
     gone = lines.join(bounds, "h").where(F.col("bound") < order).groupBy("row").agg(F.collect_list("line").alias("gone"))
     out = packed.select("row", "rest", "packed").join(gone, "row", "left").select("rest", "packed", "gone")
     result = T.StructType([base.schema["rest"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])

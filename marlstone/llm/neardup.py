@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.bytewords import mix, words
-from marlstone.llm.common import documents, like, materialize, released, slices
+from marlstone.llm.common import documents, free, like, materialize, owned, released, slices
 from marlstone.llm.components import components
 
 PERMUTATIONS, ROWS, BANDS, PERCENT = 100, 5, 40, 80
@@ -120,43 +120,55 @@ def _open_pairs(placed: DataFrame, leads: DataFrame, sets: DataFrame, percent: i
     rest = placed.join(keys, "key", "left_semi").join(leads.select("key", F.col("lead.cls").alias("lead")), "key").where("cls <> lead")
     rest = materialize(rest.select("cls", "n", "component").distinct(), "open-classes")
     items = materialize(sets.join(rest, "cls").select("cls", "n", "component", F.explode("items").alias("i")), "open-shingles")
+    free(rest)
     often = items.groupBy("i").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     inside = Window.partitionBy("cls")
     at = F.col("n") - F.count(F.lit(1)).over(inside) + F.row_number().over(inside.orderBy("f", "i")) - 1
     rows = items.join(often, "i").withColumn("limit", F.floor((100 + percent) * (F.col("n") - at) / percent) - F.col("n"))
     rows = materialize(rows.where(100 * F.col("limit") >= percent * F.col("n")).select("i", "cls", "n", "component", "limit"), "open-prefixes")
+    free(items)
     for _ in range(2):  # each pass may leave shingles with fewer classes
         ends = rows.groupBy("i").agg(F.min("n").alias("least"), F.max("limit").alias("reach"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("i", "least", "reach")
-        rows = materialize(rows.join(ends, "i").where("limit >= least and n <= reach").drop("least", "reach"), "open-rest")
+        last, rows = rows, materialize(rows.join(ends, "i").where("limit >= least and n <= reach").drop("least", "reach"), "open-rest")
+        free(last)
     two = rows.select("i", F.col("cls").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"), F.col("limit").alias("limit_b"))
-    return rows.join(two, "i").where("component < d and m <= limit and n <= limit_b").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
+    pairs = rows.join(two, "i").where("component < d and m <= limit and n <= limit_b").select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
+    pairs = materialize(pairs, "open-pairs")
+    free(rows)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     rows = documents(docs, id_col, text_col)
-    signed = materialize(rows.mapInArrow(_signatures(shingle), like(rows, "n_shingles long, cls string, bands array<long>")), "signatures")
+    signatures = materialize(rows.mapInArrow(_signatures(shingle), like(rows, "n_shingles long, cls string, bands array<long>")), "signatures")
+    signed = materialize(signatures.drop("bands"), "signed")
     live = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = live.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    banded = classes.select("cls", "n", F.explode("bands").alias("key"))
+    classes = live.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    banded = signatures.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select("cls", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(banded.join(shared, "key"), "buckets")
-    weights = members.groupBy("cls").agg(F.sum("size").alias("weight"))
-    members = materialize(members.drop("size").join(weights, "cls"), "weighted-buckets")
+    buckets = materialize(banded.join(shared, "key"), "buckets")
+    free(signatures)
+    weights = buckets.groupBy("cls").agg(F.sum("size").alias("weight"))
+    members = materialize(buckets.drop("size").join(weights, "cls"), "weighted-buckets")
+    free(buckets)
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     # a table, whose size Spark knows before it plans: while it is under the threshold of broadcasts no text is shuffled
-    wanted = materialize(weights.select("cls").join(classes.select("cls", "rep"), "cls").select("rep").distinct(), "wanted")
+    wanted = materialize(members.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select("rep").distinct(), "wanted")
     texts = rows.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
     sets = materialize(texts.mapInPandas(_sets(shingle), "cls string, items array<long>").dropDuplicates(["cls"]), "sets")
+    free(wanted)
 
     leads = members.groupBy("key").agg(F.max(F.struct("weight", "cls", "n")).alias("lead"))
     led = members.join(leads, "key").where(F.col("cls") != F.col("lead.cls"))
     stars = led.where(near(F.col("n"), F.col("lead.n"))).select(F.col("cls").alias("a"), F.col("lead.cls").alias("b")).distinct()
-    links = materialize(confirmed(stars, sets, percent), "confirmed")
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    first = materialize(confirmed(stars, sets, percent), "confirmed")
+    found = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = members.join(found.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    links = links.unionByName(confirmed(_open_pairs(placed, leads, sets, percent), sets, percent))
+    pairs = _open_pairs(placed, leads, sets, percent)
+    links = materialize(first.unionByName(confirmed(pairs, sets, percent)), "confirmed")
+    free(first, pairs, members, sets)
 
     reps = classes.select("cls", "rep")
     by_rep = links.join(reps.withColumnsRenamed({"cls": "a", "rep": "u"}), "a").join(reps.withColumnsRenamed({"cls": "b", "rep": "v"}), "b").select("u", "v")
@@ -172,7 +184,8 @@ def query(spark, sf: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf: str) -> DataFrame:
     """Pipeline: of each group of near-duplicates the document with the smallest id stays, once if its row is repeated. Rows without an id stay."""
-    found = materialize(near_duplicates(docs).select("doc_id", "kept"), "near-dedup")
+    with owned(spark):
+        found = materialize(near_duplicates(docs).select("doc_id", "kept"), "near-dedup", outlives=True)
     gone = found.where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = materialize(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")

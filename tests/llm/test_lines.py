@@ -57,6 +57,37 @@ def test_equals_brute_force(spark):
     assert run(make(spark, rows)) == brute(rows)
 
 
+def test_words_end_at_ascii_white_space_alone(spark):
+    """Characters that Unicode counts as white space are parts of words, also where witnesses are verified."""
+    rng = random.Random(8)
+    odd = ["\u00a0", "\u3000", "\u2003", "\u0085", "\x1c", "\x1d", "\x1e", "\x1f", "\u2028"]
+    rows = [(0, "one two three four five d e"), (1, "one two three four five f g"), (2, "one two three four five\u00a0d e"), (3, "one two three four five\u00a0f g")]
+    for k, c in enumerate(odd):
+        base = f"w{k}a w{k}b w{k}c w{k}d"
+        rows += [(10 * k + 10, f"{base} x{c}y z"), (10 * k + 11, f"{base} x{c}q z"), (10 * k + 12, f"{base} x{c}y z{c}more"), (10 * k + 13, f"{base} x y z")]
+    rows += [(200 + k, "\n".join(edited(rng, f"p q{c}r s{c}t u v w{c}") for _ in range(4))) for k, c in enumerate(odd)]
+    want = brute(rows)
+    assert run(make(spark, rows)) == want and sum(r[3] for r in want) > 10
+
+
+def test_a_witness_that_fails_gives_way_to_the_next(spark, monkeypatch):
+    """Where keys meet though lines are apart, the earliest of the other witnesses counts."""
+    rows = [(0, "one two three four"), (1, "one two three five"), (2, "one two three six"), (3, "one two three six seven")]
+    want = brute(rows)
+    assert run(make(spark, rows)) == want
+    real = lines._verified
+
+    def wary(batches):
+        for b in real(batches):
+            yield b.assign(good=b["good"] & (b["w"] != first))
+
+    d = make(spark, rows[:1])
+    first = next(iter(lines._describe(4)(iter(d.selectExpr("doc_id id", "struct(true) rest", "text").toArrow().to_batches())))).column("h")[0].as_py()[0]
+    monkeypatch.setattr(lines, "_verified", wary)
+    got = {r[1]: r[3] for r in run(make(spark, rows))}
+    assert got == {0: 0, 1: 0, 2: 1, 3: 1}
+
+
 def test_repeated_rows_null_ids_and_long_lines(spark, corpus):
     """Of each text one row stays."""
     d = lines.dedup_lines(make(spark, corpus))
