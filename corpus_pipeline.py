@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import decontaminate, language, lines, neardup, sentencepieces
-from marlstone.llm.common import materialize
+from marlstone.llm.common import free, materialize, owned
 
 STAGES = [
     ("language_id", language.stage),
@@ -20,7 +20,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows for the documents of sf_dir. What a stage wrote for itself is deleted once its output is written, and that output once the
+    next stage's is; the last stage's input stays, as its rows are read from it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with owned(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", outlives=True)
+        free(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
