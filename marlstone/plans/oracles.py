@@ -222,9 +222,15 @@ SELECT s.symbol, g.close_time_ms, b."close" FROM g CROSS JOIN (SELECT DISTINCT s
     "model_status": f"WITH {_STATUS} SELECT model, status, missing_features FROM status",
     "evaluation_overall": _overall(),
     "source_spot_bars": f"{_B} SELECT upper(symbol) AS symbol, {_LOADED} FROM bars",
+    "source_pruned_bars": f"{_B} SELECT upper(symbol) AS symbol, {_LOADED} FROM bars WHERE symbol = '{BENCHMARK}' AND make_timestamp(open_time_ms * 1000) >= TIMESTAMP '2024-01-08' AND make_timestamp(open_time_ms * 1000) < TIMESTAMP '2024-01-15'",
+    "source_pruned_metrics": f"""WITH {_METRICS} SELECT upper(symbol) AS symbol, timestamp_ms // 1000 * 1000 AS timestamp_ms, round(arg_max(taker_long_short_ratio, timestamp_ms), 8) AS taker_long_short_ratio,
+round(arg_max_null(sum_open_interest_value, timestamp_ms), 8) AS sum_open_interest_value FROM metrics WHERE make_timestamp(timestamp_ms * 1000) >= TIMESTAMP '2024-01-15' GROUP BY 1, 2""",
     "source_derivative_bars": f"WITH {_deriv(HOUR)} SELECT upper(symbol) AS symbol, {_LOADED} FROM deriv",
     "source_metrics": f"""WITH {_METRICS} SELECT upper(symbol) AS symbol, timestamp_ms // 1000 * 1000 AS timestamp_ms, round(arg_max(taker_long_short_ratio, timestamp_ms), 8) AS taker_long_short_ratio,
 round(arg_max_null(sum_open_interest_value, timestamp_ms), 8) AS sum_open_interest_value FROM metrics GROUP BY 1, 2""",
     "source_onchain": f'WITH {_ONCHAIN} SELECT asset, available_time_ms - {DAY} AS metric_time_ms, available_time_ms, "AdrActCnt", "TxCnt", round("FeeTotNtv", 8) AS "FeeTotNtv" FROM onchain',
+    "stream_bar_features": f"""{_B}, {_FEATURES}, q AS (SELECT *, CASE WHEN "count" % 7 <> 0 THEN volume END AS oi FROM feat),
+p AS (SELECT *, last_value(oi IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY close_time_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM q)
+SELECT symbol, close_time_ms, {_round(['ret1', 'ret24', 'z_ret1', 'z_ret4', 'z_ret24', 'z_order_imb', 'rv24', 'z_rv24'], 7)}, round(CASE WHEN prev <> 0 THEN oi / prev - 1 END, 7) + 0.0 AS oi_change FROM p""",
     "source_panel_csv": f'WITH {_panel(DAY)} SELECT "timestamp", decision_time_ms, asset, {_round(["forward_return", "benchmark_return", "momentum_1h"], 7)}, target_close_time FROM panel',
 }

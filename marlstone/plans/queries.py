@@ -16,6 +16,7 @@ from marlstone.operators.tables import materialize, new_path
 from marlstone.plans import evaluate as G
 from marlstone.plans import panel as P
 from marlstone.sources import files, vendor
+from marlstone.streaming.features import latest, stream_features
 from marlstone.protocol import FEATURE_SETS, Costs, Protocol, default_protocol
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -341,6 +342,20 @@ def source_spot_bars(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(files.load_spot_bars(spark, root).select(*_LOADED))
 
 
+def source_pruned_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The bars of one symbol and week out of an archive of vendor files, the others of which are never opened."""
+    root = vendor.write_klines(bars(spark, sf).withColumn("symbol", F.upper("symbol")), new_path(spark, "spot"), "spot-klines-{symbol}-1h-{day}.csv")
+    found = files.load_spot_bars(spark, root, (F.col("symbol") == BENCHMARK.upper()) & F.col("day").between(F.lit("2024-01-08").cast("date"), F.lit("2024-01-14").cast("date")))
+    return rounded(found.select(*_LOADED))
+
+
+def source_pruned_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics from a day on."""
+    root = vendor.write_metrics(metrics(spark, sf).withColumn("symbol", F.upper("symbol")), new_path(spark, "metrics"))
+    found = files.load_derivative_metrics(spark, root, F.col("day") >= F.lit("2024-01-15").cast("date"))
+    return rounded(found.select("symbol", "timestamp_ms", "taker_long_short_ratio", "sum_open_interest_value"))
+
+
 def source_derivative_bars(spark: SparkSession, sf: str) -> DataFrame:
     root = vendor.write_klines(derivative_bars(spark, sf).withColumn("symbol", F.upper("symbol")), new_path(spark, "derivative"), "coinm-klines-{symbol}-1h-{day}.csv")
     return rounded(files.load_derivative_bars(spark, root).select(*_LOADED))
@@ -356,6 +371,17 @@ def source_onchain(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(files.load_onchain(spark, root).select("asset", "metric_time_ms", "available_time_ms", "AdrActCnt", "TxCnt", "FeeTotNtv"))
 
 
+def stream_bar_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of the bars as a stream of seven batches, each of which has bars of all times, so that later ones revise earlier ones."""
+    b = bars(spark, sf).select("symbol", "close_time_ms", "close", "volume", "taker_buy_volume", F.when(F.col("count") % 7 != 0, F.col("volume")).alias("oi"))
+    src, out = new_path(spark, "stream-bars"), new_path(spark, "stream-features")
+    b.repartition(7, "symbol", "close_time_ms").write.parquet(src)
+    stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    found = stream_features(stream, revisable=1 << 20).writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start()
+    found.awaitTermination()
+    return rounded(latest(spark.read.parquet(out)).select("symbol", "close_time_ms", "ret1", "ret24", "z_ret1", "z_ret4", "z_ret24", "z_order_imb", "rv24", "z_rv24", "oi_change"), 7)
+
+
 def source_panel_csv(spark: SparkSession, sf: str) -> DataFrame:
     """The daily panel written as CSV, validated in file order and read again."""
     path = new_path(spark, "panel-csv")
@@ -374,6 +400,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         feature_availability, universe_check, timestamp_index, fold_generator, fold_membership, missing_features, score_position, turnover_cost, portfolio_returns,
         drawdown, fold_summary, overall_summary, candidate_screen, cost_styles, event_score, join_cardinality, key_multiplicity, top_key_products, key_intersection,
         asset_from_symbol, epoch_normalize, lenient_cast, sha256_rows, calendar_reindex, wide_to_long,
-        complete_rows, model_status, evaluation_overall, source_spot_bars, source_derivative_bars, source_metrics, source_onchain, source_panel_csv,
+        complete_rows, model_status, evaluation_overall, source_spot_bars, source_pruned_bars, source_pruned_metrics, source_derivative_bars, source_metrics, source_onchain, source_panel_csv, stream_bar_features,
     )
 }

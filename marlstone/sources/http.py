@@ -85,7 +85,7 @@ def request_url(endpoint: str, params: dict[str, Any]) -> str:
     """The address of a request: the endpoint's own parameters, then those given; null ones are left out."""
     base, path, defaults = ENDPOINTS[endpoint]
     if endpoint == "book_ticker" and {"pair", "symbol"} <= {k for k, v in params.items() if v is not None}:
-        raise ValueError("give pair or symbol, not both")
+        raise ValueError("book_ticker takes one of pair and symbol")
     host = urlsplit(base)
     given = [(k, v) for k, v in {**defaults, **params}.items() if v is not None]
     return urlunsplit((host.scheme, host.netloc, host.path + path, urlencode(given), ""))

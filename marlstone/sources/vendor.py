@@ -32,10 +32,10 @@ def _named(rows: DataFrame, root: str, pattern: str) -> str:
 
 
 def write_klines(bars: DataFrame, root: str, pattern: str) -> str:
-    """Bars as eleven columns without a header."""
+    """Bars as eleven columns without a header; a null is an empty cell, which loading bars refuses as no number."""
     zero = F.lit(0.0)
     cells = [F.col(c) for c in ("open_time_ms", "open", "high", "low", "close", "volume", "close_time_ms")] + [zero, F.col("count"), F.col("taker_buy_volume"), zero]
-    line = F.concat_ws(",", *(c.cast("string") for c in cells))
+    line = F.concat_ws(",", *(F.coalesce(c.cast("string"), F.lit("")) for c in cells))
     return _named(bars.select("symbol", _day(F.col("open_time_ms")).alias("day"), F.col("open_time_ms").alias("at"), line.alias("line")), root, pattern)
 
 
