@@ -5,9 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.operators.tables import free, materialize, new_path, owned, shared_dir
+from marlstone.shipping import ship_package
 
 __all__ = ["free", "materialize", "new_path", "owned", "shared_dir"]
 
@@ -34,21 +32,10 @@ def _number(value: str) -> int:
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, so that tasks can import it wherever they run, and lowers the session's
     Arrow batches to BATCH where they are larger."""
-    sc = spark.sparkContext
     for key, most in BATCH.items():
         if not 0 < _number(spark.conf.get(key)) <= most:
             spark.conf.set(key, str(most))
-    if getattr(sc, "_marlstone_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="marlstone-"), "marlstone.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    z.write(os.path.join(d, n), os.path.join("marlstone", os.path.relpath(os.path.join(d, n), root)))
-    sc.addPyFile(path)
-    sc._marlstone_shipped = True
+    ship_package(spark)
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
