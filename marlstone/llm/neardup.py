@@ -31,8 +31,11 @@ from pyspark.sql import functions as F
 from marlstone.llm.bytewords import mix, words
 from marlstone.llm.common import documents, free, like, materialize, owned, released, slices
 from marlstone.llm.components import components
+from marlstone.operators.joins import checked_broadcast
 
 PERMUTATIONS, ROWS, BANDS, PERCENT = 100, 5, 40, 80
+#: Most ids that are broadcast as hashes.
+WANTED = 1 << 20
 _RANDOM = np.random.default_rng(20240229)
 A = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 B = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
@@ -154,9 +157,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, i
     free(buckets)
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    # a table, whose size Spark knows before it plans: while it is under the threshold of broadcasts no text is shuffled
-    wanted = materialize(members.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select("rep").distinct(), "wanted")
-    texts = rows.withColumnRenamed("doc_id", "rep").join(wanted, "rep", "left_semi")
+    # texts are read where they lie: what is sent to them is a hash of each wanted id, 8 bytes, up to WANTED of them; beyond, texts are shuffled
+    wanted = materialize(members.select("cls").distinct().join(classes.select("cls", "rep"), "cls").select(F.xxhash64("rep").alias("h")).distinct(), "wanted")
+    texts = rows.withColumn("h", F.xxhash64("doc_id")).join(checked_broadcast(wanted, WANTED), "h", "left_semi").select("text")
     sets = materialize(texts.mapInPandas(_sets(shingle), "cls string, items array<long>").dropDuplicates(["cls"]), "sets")
     free(wanted)
 

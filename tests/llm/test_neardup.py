@@ -73,3 +73,9 @@ def test_whole_table(spark, sf):
     got = sorted((False, r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.query(spark, sf).collect())
     inverted = collections.Counter(r[3] for r in got)
     assert got == brute(rows) and max(inverted.values()) > 1
+
+
+def test_more_wanted_texts_than_are_broadcast(spark, corpus, monkeypatch):
+    want = sorted(map(tuple, neardup.near_duplicates(make(spark, corpus)).collect()), key=str)
+    monkeypatch.setattr(neardup, "WANTED", 1)
+    assert sorted(map(tuple, neardup.near_duplicates(make(spark, corpus)).collect()), key=str) == want
