@@ -24,31 +24,47 @@ def keep_last(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str, name: str = "matched", tie: Sequence[str] = (), bucket_ms: int | None = None) -> DataFrame:
+def _spread(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str, most: int) -> DataFrame:
+    """(by, _edges): where each key's times are cut so that its rows of both sides, however they lie in time, fall in parts of about `most`: quantiles
+    of its own times, none for a key of fewer rows."""
+    steps = [k / _STEPS for k in range(1, _STEPS)]
+    times = right.select(*by, F.col(right_ts).alias("_ts")).unionByName(left.select(*by, F.col(left_ts).alias("_ts"))).where("_ts is not null")
+    found = times.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.approx_percentile("_ts", F.array(*(F.lit(s) for s in steps)), F.lit(20_000)).alias("_all"))
+    each = F.greatest(F.lit(1), F.floor(F.lit(_STEPS) / F.ceil(F.col("_rows") / most))).cast("int")
+    return found.select(*by, F.when(F.col("_rows") > most, F.array_distinct(F.filter("_all", lambda _, i: (i + 1) % each == 0))).otherwise(F.array().cast("array<long>")).alias("_edges"))
+
+
+#: Quantiles that a key's times can be cut at.
+_STEPS = 256
+
+
+def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str, name: str = "matched", tie: Sequence[str] = (), split: int | None = None) -> DataFrame:
     """Each left row with a struct `name` of the last right row at or before it, however old; null if there is none.
 
     Both sides are united and sorted once per key, right rows first on equal times; ties on the right go to the last by `tie`.
-    With bucket_ms, a key's rows are dealt out by time bucket too, and each bucket starts from the last right row before it, so a
-    key with very many rows is no single task; only one row per key and bucket is sorted by key alone.
+    With `split`, the times of a key of more rows are cut at their quantiles into parts of about that many, and each part starts from the last right row before it;
+    so a key with very many rows is no single task, even if they all lie in one day. Only one row per key and part is sorted by key alone.
     """
     value = F.struct(*(F.col(c) for c in right.columns))
     kind = right.select(value.alias("r")).schema["r"].dataType
-    keys, bucket = [F.col(k) for k in by], F.floor(F.col("_ts") / F.lit(bucket_ms or 1)).cast("long")
-    after = F.struct(*(F.col(c) for c in (right_ts, *tie)))
+    keys = [F.col(k) for k in by]
+    after = F.struct(*(F.col(c) for c in ("_ts", *(f"_r.{c}" for c in tie))))
     r = right.where(F.col(right_ts).isNotNull()).select(*keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.struct(*(F.col(c) for c in tie)).alias("_tie") if tie else F.lit(None).alias("_tie"), value.alias("_r"), F.lit(None).alias("_l"))
     row = left.select(F.struct(*(F.col(c) for c in left.columns)).alias("l")).schema["l"].dataType
     tie_kind = r.schema["_tie"].dataType
     lone = left.select(*keys, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(tie_kind).alias("_tie"), F.lit(None).cast(kind).alias("_r"), F.struct(*(F.col(c) for c in left.columns)).alias("_l"))
     both = r.withColumn("_l", F.col("_l").cast(row)).unionByName(lone)
     part = list(by)
-    if bucket_ms:
-        both, part = both.withColumn("_bucket", bucket), [*by, "_bucket"]
-        ends = right.where(F.col(right_ts).isNotNull()).withColumn("_ts", F.col(right_ts)).groupBy(*by, bucket.alias("_bucket")).agg(F.max_by(value, after).alias("_end"))
-        marks = ends.unionByName(lone.select(*by, bucket.alias("_bucket"), F.lit(None).cast(kind).alias("_end")).distinct()).groupBy(*by, "_bucket").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    if split:
+        edges = _spread(left, right, by, left_ts, right_ts, split).alias("e")
+        same = [F.col(f"b.{k}").eqNullSafe(F.col(f"e.{k}")) for k in by]
+        at = F.size(F.filter(F.coalesce("e._edges", F.array().cast("array<long>")), lambda e: e <= F.col("b._ts")))
+        both, part = both.alias("b").join(edges, same, "left").select("b.*", at.alias("_bucket")), [*by, "_bucket"]
+        marks = both.groupBy(*by, "_bucket").agg(F.max_by("_r", F.when(F.col("_side") == 0, after)).alias("_end"))
         carried = marks.withColumn("_r", F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).where("_r is not null")
         both = both.unionByName(carried.select(*by, F.lit(None).cast("long").alias("_ts"), F.lit(0).alias("_side"), F.lit(None).cast(tie_kind).alias("_tie"), "_r", F.lit(None).cast(row).alias("_l"), "_bucket"))
     so_far = Window.partitionBy(*part).orderBy("_ts", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(name, F.last("_r", ignorenulls=True).over(so_far)).where("_side = 1").select("_l.*", name)
+    return both.withColumn(name, F.last("_r", ignorenulls=True).over(so_far)).where("_side = 1").select(*(F.col(c) if c in by else F.col(f"_l.{c}") for c in left.columns), name)  # keys as they were dealt by
 
 
 def decision_times(bars: DataFrame, symbols: int | None = None) -> DataFrame:
@@ -60,11 +76,20 @@ def decision_times(bars: DataFrame, symbols: int | None = None) -> DataFrame:
     return counted.join(F.broadcast(total), F.col("n") == F.col("total")).select("close_time_ms")
 
 
+def derivative_close(derivative: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(symbol, close_time_ms, d_close): closes of derivative bars under their spot symbols."""
+    return derivative.select(F.col("symbol").alias("derivative"), "close_time_ms", F.col("close").alias("d_close")).join(mapping, "derivative").drop("derivative")
+
+
+def basis_value() -> Column:
+    return F.when(F.col("close") > 0, F.col("d_close") / F.col("close") - 1)
+
+
 def basis(spot: DataFrame, derivative: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(symbol, close_time_ms, basis) at each time that a spot symbol and its derivative (mapping: symbol, derivative) share."""
-    d = derivative.select(F.col("symbol").alias("derivative"), "close_time_ms", F.col("close").alias("d_close"))
-    s = spot.select("symbol", "close_time_ms", "close").join(checked_broadcast(mapping), "symbol")
-    return s.join(d, ["derivative", "close_time_ms"]).where("close > 0").select("symbol", "close_time_ms", (F.col("d_close") / F.col("close") - 1).alias("basis"))
+    """(symbol, close_time_ms, basis) at each time that a spot symbol and its derivative (mapping: symbol, derivative; with a broadcast hint if it's small)
+    share."""
+    found = spot.select("symbol", "close_time_ms", "close").join(derivative_close(derivative, mapping), ["symbol", "close_time_ms"]).where("close > 0")
+    return found.select("symbol", "close_time_ms", basis_value().alias("basis"))
 
 
 def benchmark(features: DataFrame, symbol: str) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.values import asset_from_symbol, growth, iso_from_ms, ms_from_iso, onchain_activity, simple_return, taker_transform
-from marlstone.operators.joins import asof_backward, basis, benchmark, checked_broadcast, decision_times, leave_one_out
+from marlstone.operators.joins import BROADCAST_ROWS, asof_backward, basis_value, derivative_close, leave_one_out
+from marlstone.operators.series import BLOCK
 from marlstone.operators.tables import materialize
-from marlstone.operators.windows import bar_features, last_before, rolling_zscore
+from marlstone.operators.universe import numbered, size, universes
+from marlstone.operators.windows import bar_features, last_before, long_series, rolling_zscores
 from marlstone.protocol import Protocol
 from marlstone.schema import PANEL, RESERVED
 
@@ -18,19 +20,23 @@ from marlstone.schema import PANEL, RESERVED
 STAGE_TWO = ("cross_crypto_leadlag", "oi_change_z", "basis_z", "taker_imbalance", "onchain_activity_z", "network_growth_z")
 #: Fixed value: the default map of spot to derivative symbols.
 DEFAULT_MAP = {"BTCUSDT": "BTCUSD_PERP"}
-#: Time bucket of as-of joins, so that one symbol's rows spread over tasks.
-ASOF_BUCKET_MS = 30 * 86_400_000
 GAP_LIMIT_HOURS = 1.000001
 
 
-def derivative_state(at: DataFrame, metrics: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(symbol, close_time_ms, taker, oi_change) at those of `at` (symbol, close_time_ms) that have a derivative with metrics at or before them."""
-    at = at.select("symbol", "close_time_ms").join(checked_broadcast(mapping), "symbol").withColumnRenamed("derivative", "m_symbol")
-    right = metrics.withColumnRenamed("symbol", "m_symbol")
-    found = asof_backward(at, right, ["m_symbol"], "close_time_ms", "timestamp_ms", bucket_ms=ASOF_BUCKET_MS).where("matched is not null")
-    oi = F.col("matched.sum_open_interest_value")
+def with_metrics(rows: DataFrame, metrics: DataFrame, mapping: DataFrame, split: int | None = None) -> DataFrame:
+    """rows (symbol, close_time_ms, ...) with the metrics of their derivative at or before their time as `dm`, its taker and oi, and the change of oi against
+    the last that isn't null in a row before. Metrics are handed to their spot symbols first, so one exchange by symbol serves both."""
+    right = metrics.withColumnRenamed("symbol", "derivative").join(mapping, "derivative").drop("derivative")
     over = Window.partitionBy("symbol").orderBy("close_time_ms")
-    return found.select("symbol", "close_time_ms", taker_transform(F.col("matched.taker_long_short_ratio")).alias("taker"), oi.alias("oi")).withColumn("oi_change", growth(F.col("oi"), last_before(F.col("oi"), over)))
+    found = asof_backward(rows, right, ["symbol"], "close_time_ms", "timestamp_ms", name="dm", split=split)
+    found = found.withColumns({"taker": taker_transform(F.col("dm.taker_long_short_ratio")), "oi": F.col("dm.sum_open_interest_value")})
+    return found.withColumn("oi_change", growth(F.col("oi"), last_before(F.col("oi"), over)))
+
+
+def derivative_state(at: DataFrame, metrics: DataFrame, mapping: DataFrame, split: int | None = None) -> DataFrame:
+    """(symbol, close_time_ms, taker, oi, oi_change) at those of `at` (symbol, close_time_ms) that have a derivative with metrics at or before them."""
+    at = at.select("symbol", "close_time_ms").join(mapping.select("symbol"), "symbol", "left_semi")
+    return with_metrics(at, metrics, mapping, split).where("dm is not null").drop("dm")
 
 
 def onchain_state(onchain: DataFrame) -> DataFrame:
@@ -39,25 +45,42 @@ def onchain_state(onchain: DataFrame) -> DataFrame:
     return onchain.select("asset", "available_time_ms", onchain_activity(F.col("AdrActCnt"), F.col("TxCnt"), F.col("FeeTotNtv")).alias("activity"), growth(F.col("AdrActCnt"), F.lag("AdrActCnt").over(over)).alias("network_growth"))
 
 
-def point_in_time_panel(spot: DataFrame, benchmark_symbol: str = "BTCUSDT", derivative_bars: DataFrame | None = None, derivative_metrics: DataFrame | None = None, derivative_map: dict[str, str] | None = None, onchain: DataFrame | None = None, symbols: int | None = None) -> DataFrame:
-    """The panel of PANEL's columns; features at t use rows up to t only. derivative_metrics needs `symbol`, onchain `asset`."""
+#: What the panel takes from bars' features.
+_FEATURES = ("symbol", "close_time_ms", "close", "next_close", "next_close_time_ms", "ret1", "z_ret1", "z_ret4", "z_ret24", "z_order_imb", "z_rv24")
+
+
+def point_in_time_panel(spot: DataFrame, benchmark_symbol: str = "BTCUSDT", derivative_bars: DataFrame | None = None, derivative_metrics: DataFrame | None = None, derivative_map: dict[str, str] | None = None, onchain: DataFrame | None = None, symbols: int | None = None, block: int | None = None) -> DataFrame:
+    """The panel of PANEL's columns; features at t use rows up to t only. Bars are unique by (symbol, close_time_ms); derivative_metrics needs `symbol`, onchain
+    `asset`. symbols: how many there are, if some have files but no rows.
+
+    Bars' features are computed once. One exchange by time then tells the times that all symbols have, and attaches the benchmark and the others' mean return;
+    derivatives and observations are looked up at those times alone. Series of over four blocks (by default BLOCK) are cut into blocks, the others are one task each."""
     spark = spot.sparkSession
-    spot = materialize(spot, "bars")  # read by the windows, the common times, the benchmark and the basis
-    if symbols is None and spot.where(F.col("symbol") == benchmark_symbol).isEmpty():
+    spot = materialize(spot, "bars")  # their count decides how they are windowed
+    counts = spot.groupBy("symbol").count()
+    known = counts.agg(F.max("count").alias("longest"), F.count(F.lit(1)).alias("symbols"), F.max(F.col("symbol") == benchmark_symbol).alias("benchmark")).first()
+    if symbols is None and not known.benchmark:
         raise ValueError(f"no bars of the benchmark symbol {benchmark_symbol}")
-    features = bar_features(spot)
-    times = materialize(decision_times(spot, symbols), "decision-times")
-    rows = features.join(times, "close_time_ms", "left_semi").withColumn("cross_crypto_leadlag", leave_one_out("ret1", "close_time_ms"))
-    rows = rows.join(benchmark(features, benchmark_symbol), "close_time_ms").where("next_close_time_ms is not null")
+    cut = block or (BLOCK if (known.longest or 0) > 4 * BLOCK else None)
+    features = bar_features(spot, cut).select(*_FEATURES)
+    at = Window.partitionBy("close_time_ms")
+    regime = F.when(F.col("symbol") == benchmark_symbol, F.struct(simple_return(F.col("next_close"), F.col("close")).alias("r"), "z_ret24", "z_rv24"))
+    times = features.withColumns({"_n": F.count(F.lit(1)).over(at), "_b": F.max(regime).over(at), "cross_crypto_leadlag": leave_one_out("ret1", "close_time_ms")})
+    times = times.where(F.col("_n") == (known.symbols if symbols is None else symbols))
+    rows = materialize(times.select(*_FEATURES, "cross_crypto_leadlag", F.col("_b.r").alias("benchmark_return"), F.col("_b.z_ret24").alias("regime_trend"), F.col("_b.z_rv24").alias("regime_volatility")), "decision-rows")
 
-    mapping = spark.createDataFrame(list((derivative_map or DEFAULT_MAP).items()), "symbol string, derivative string")
     none = F.lit(None).cast("double")
+    pairs = list((derivative_map or DEFAULT_MAP).items())
+    mapping = spark.createDataFrame(pairs, "symbol string, derivative string")
+    mapping = F.broadcast(mapping) if len(pairs) <= BROADCAST_ROWS else mapping
+    if derivative_metrics is not None:  # at all common times, also those without a next bar
+        rows = with_metrics(rows, derivative_metrics, mapping, block or long_series(derivative_metrics, "symbol"))
+    rows = rows.where("next_close_time_ms is not null and benchmark_return is not null")
     if derivative_bars is not None:
-        rows = rows.join(basis(spot, derivative_bars, mapping), ["symbol", "close_time_ms"], "left")
-    if derivative_metrics is not None:
-        rows = rows.join(derivative_state(spot.join(times, "close_time_ms", "left_semi"), derivative_metrics, mapping).drop("oi"), ["symbol", "close_time_ms"], "left")
+        rows = rows.join(derivative_close(derivative_bars, mapping), ["symbol", "close_time_ms"], "left").withColumn("basis", basis_value())
     if onchain is not None:
-        rows = asof_backward(rows.withColumn("asset", asset_from_symbol(F.col("symbol"))), onchain_state(onchain), ["asset"], "close_time_ms", "available_time_ms", name="oc", bucket_ms=ASOF_BUCKET_MS)
+        assets = counts.select("symbol", asset_from_symbol(F.col("symbol")).alias("asset"))
+        rows = asof_backward(rows, onchain_state(onchain).join(assets, "asset").drop("asset"), ["symbol"], "close_time_ms", "available_time_ms", name="oc", split=cut)
     have = set(rows.columns)
     raw = {
         "timestamp": iso_from_ms(F.col("close_time_ms")), "decision_time_ms": F.col("close_time_ms"), "asset": F.col("symbol"),
@@ -69,8 +92,7 @@ def point_in_time_panel(spot: DataFrame, benchmark_symbol: str = "BTCUSDT", deri
         **dict.fromkeys(RESERVED, none),
     }
     panel = rows.select(*(raw.get(f.name, F.col(f.name)).alias(f.name) for f in PANEL.fields))
-    over = Window.partitionBy("asset").orderBy("decision_time_ms")
-    return panel.withColumns({c: rolling_zscore(F.col(c), over) for c in STAGE_TWO})
+    return rolling_zscores(panel, STAGE_TWO, "asset", "decision_time_ms", cut)
 
 
 def feature_availability(panel: DataFrame, feature_sets: dict[str, list[str]]) -> DataFrame:
@@ -100,18 +122,17 @@ def duplicate_keys(panel: DataFrame) -> DataFrame:
 
 
 def panel_quality(panel: DataFrame) -> DataFrame:
-    """One row of quality flags. Only one row per timestamp meets in the ordering window; a timestamp's assets are as many as it has rows, and
-    universes are told apart by the least and the greatest list, so none are gathered over time."""
+    """One row of quality flags. Only one row per timestamp meets in the ordering window; universes are bits, told apart by the least and the greatest, so
+    no names are gathered."""
     late = ms_from_iso(F.col("target_close_time")) <= ms_from_iso(F.col("timestamp"))
-    per_ts = panel.groupBy("timestamp").agg(F.array_sort(F.collect_set("asset")).alias("assets"), F.count(F.lit(1)).alias("n"), F.max(late).alias("late"))
+    ids = numbered(panel)
+    per_ts = universes(panel, ids, most={"late": late})
     w = Window.orderBy("timestamp")
     gaps = per_ts.withColumn("gap", (ms_from_iso(F.col("timestamp")) - F.lag(ms_from_iso(F.col("timestamp"))).over(w)) / F.lit(3_600_000.0))
     out = gaps.agg(
-        F.count(F.lit(1)).alias("decision_timestamps"), F.coalesce(F.min("assets") == F.max("assets"), F.lit(True)).alias("stable_asset_universe"), F.max("late").alias("_late"),
-        F.greatest(F.coalesce(F.max("gap"), F.lit(0.0)), F.lit(0.0)).alias("max_gap_hours"), F.max(F.col("n") > F.size("assets")).alias("_dup"),
-    )
-    assets = panel.select("asset").distinct().agg(F.count("asset").alias("asset_count"))
-    out = out.withColumn("_one", F.lit(1)).join(F.broadcast(assets.withColumn("_one", F.lit(1))), "_one")  # one row each
+        F.count(F.lit(1)).alias("decision_timestamps"), F.coalesce(F.min("bits") == F.max("bits"), F.lit(True)).alias("stable_asset_universe"), F.max("late").alias("_late"),
+        F.greatest(F.coalesce(F.max("gap"), F.lit(0.0)), F.lit(0.0)).alias("max_gap_hours"), F.max(F.col("n") > size("bits")).alias("_dup"),
+    ).withColumn("asset_count", F.lit(ids.where("asset is not null").count()).cast("long"))
     return out.select(
         "decision_timestamps", "asset_count", "stable_asset_universe", (~F.coalesce(F.col("_late"), F.lit(False))).alias("target_strictly_after_decision"),
         "max_gap_hours", ((F.col("decision_timestamps") <= 1) | (F.col("max_gap_hours") <= GAP_LIMIT_HOURS)).alias("hourly_continuity_ok"), F.coalesce(F.col("_dup"), F.lit(False)).alias("duplicate_keys"),

@@ -20,6 +20,8 @@ from marlstone.streaming.features import latest, stream_features
 from marlstone.protocol import FEATURE_SETS, Costs, Protocol, default_protocol
 
 HOUR, DAY = 3_600_000, 86_400_000
+#: Rows of a key that an as-of join leaves to one task.
+ASOF_ROWS = 1 << 18
 BENCHMARK, DERIVATIVE = "click", "click_future"
 PROTOCOL = Protocol.of(default_protocol(feature_sets=FEATURE_SETS | {"X1": ["momentum_1h", "order_flow_imbalance", "regime_trend"]}))
 EVALUATED = tuple(PROTOCOL.feature_sets)
@@ -64,7 +66,7 @@ def onchain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mapping(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(BENCHMARK, DERIVATIVE)], "symbol string, derivative string")
+    return F.broadcast(spark.createDataFrame([(BENCHMARK, DERIVATIVE)], "symbol string, derivative string"))
 
 
 def panel(spark: SparkSession, sf: str, step: int = HOUR) -> DataFrame:
@@ -143,13 +145,13 @@ def basis_equi_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def asof_metrics(spark: SparkSession, sf: str) -> DataFrame:
     left = bars(spark, sf).where(F.col("symbol") == BENCHMARK).select(F.lit(DERIVATIVE).alias("symbol"), "close_time_ms")
-    out = J.asof_backward(left, metrics(spark, sf), ["symbol"], "close_time_ms", "timestamp_ms", bucket_ms=P.ASOF_BUCKET_MS)
+    out = J.asof_backward(left, metrics(spark, sf), ["symbol"], "close_time_ms", "timestamp_ms", split=ASOF_ROWS)
     return rounded(out.select("symbol", "close_time_ms", "matched.timestamp_ms", "matched.taker_long_short_ratio", "matched.sum_open_interest_value"))
 
 
 def asof_onchain(spark: SparkSession, sf: str) -> DataFrame:
     left = bars(spark, sf).select("symbol", "close_time_ms", V.asset_from_symbol(F.col("symbol")).alias("asset"))
-    out = J.asof_backward(left, onchain(spark, sf), ["asset"], "close_time_ms", "available_time_ms", bucket_ms=P.ASOF_BUCKET_MS)
+    out = J.asof_backward(left, onchain(spark, sf), ["asset"], "close_time_ms", "available_time_ms", split=ASOF_ROWS)
     return rounded(out.select("symbol", "close_time_ms", F.coalesce("matched.available_time_ms", F.lit(-1).cast("long")).alias("available_time_ms"), "matched.AdrActCnt", "matched.TxCnt"))
 
 

@@ -1,4 +1,5 @@
 import math
+import re
 import statistics
 
 import bars as B
@@ -86,15 +87,52 @@ def test_constant_series_has_zero_z(spark):
     assert got and all(r.z_ret1 == 0.0 for r in got)
 
 
-@pytest.mark.parametrize("bucket", [None, 5])
-def test_asof_takes_the_last_row_at_or_before_however_old(spark, bucket):
+@pytest.mark.parametrize("split", [None, 1, 2, 100])
+def test_asof_takes_the_last_row_at_or_before_however_old(spark, split):
     left = spark.createDataFrame([("a", t) for t in (0, 3, 7, 1000)] + [("b", 5), ("c", 1)], "k string, t long")
     right = spark.createDataFrame([("a", 1, 1.0), ("a", 3, None), ("a", 3, 3.5), ("a", 9, 9.0), ("b", 6, 6.0), ("c", None, 1.0)], "k string, s long, v double")
-    got = {(r.k, r.t): r.matched for r in joins.asof_backward(left, right, ["k"], "t", "s", tie=["v"], bucket_ms=bucket).collect()}
+    got = {(r.k, r.t): r.matched for r in joins.asof_backward(left, right, ["k"], "t", "s", tie=["v"], split=split).collect()}
     assert got["a", 0] is None and got["b", 5] is None and got["c", 1] is None
     assert got["a", 3].v == 3.5 and got["a", 7].s == 3 and got["a", 1000].v == 9.0 and len(got) == 6
 
 
+def test_asof_spreads_a_key_whose_rows_lie_in_one_day(spark):
+    """A key with all its rows within seconds is cut at its own quantiles; ties stay together and results are those of one sort."""
+    import random
+
+    rng = random.Random(2)
+    left = [("a", rng.randint(0, 5000), k) for k in range(600)] + [("b", 7, -1), (None, 3, -2)]
+    right = [("a", rng.randint(0, 5000), float(k)) for k in range(900)] + [("a", 2500, -1.0)] * 50 + [(None, 1, 5.0)]
+    l, r = spark.createDataFrame(left, "k string, t long, n long"), spark.createDataFrame(right, "k string, s long, v double")
+    rows = lambda split: sorted((x.n, x.matched) for x in joins.asof_backward(l, r, ["k"], "t", "s", tie=["v"], split=split).collect())
+    assert rows(100) == rows(None) and len(rows(100)) == 602
+    edges = {x.k: x["_edges"] for x in joins._spread(l, r, ["k"], "t", "s", 100).collect()}
+    assert edges["b"] == [] == edges[None] and 10 <= len(edges["a"]) <= 20
+    parts = [sum(sum(e <= t for e in edges["a"]) == k for key, t, _ in left + right if key == "a") for k in range(len(edges["a"]) + 1)]
+    assert max(parts) <= 200 and min(parts) > 20
+
+
+def test_the_panel_in_blocks_is_the_panel(spark):
+    chain = [("btc", B.START + d * 24 * B.HOUR, B.START + (d + 1) * 24 * B.HOUR, 100.0 + d, 200.0, 2.0) for d in range(12)]
+    spot, coin = B.frame(spark, B.make("BTCUSDT", 260), B.make("ETHUSDT", 260, slope=0.5, skip={40})), B.frame(spark, B.make("BTCUSD_PERP", 255, slope=1.01))
+    metrics = spark.createDataFrame([("BTCUSD_PERP", B.START + k * B.HOUR // 2, 1.0 + k % 7, None if k % 5 == 0 else 10.0 + k % 11) for k in range(500)], "symbol string, timestamp_ms long, taker_long_short_ratio double, sum_open_interest_value double")
+    build = lambda block: P.point_in_time_panel(spot, "BTCUSDT", coin, metrics, None, spark.createDataFrame(chain, CHAIN), block=block).orderBy("timestamp", "asset").collect()
+    whole, cut = build(None), build(50)
+    assert len(whole) == len(cut) > 400
+    for a, b in zip(whole, cut, strict=True):
+        assert all(x == y or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(a, b, strict=True))
+
+
+def test_the_panel_takes_few_exchanges(spark):
+    """Over tables, so that the sources' own aggregates don't count."""
+    from marlstone.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    parts = [Q.materialize(f(spark, sf, Q.DAY) if f in (Q.bars, Q.derivative_bars) else f(spark, sf), "t") for f in (Q.bars, Q.derivative_bars, Q.metrics, Q.onchain)]
+    plan = P.point_in_time_panel(parts[0], Q.BENCHMARK, parts[1], parts[2], {Q.BENCHMARK: Q.DERIVATIVE}, parts[3])._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange ", plan)) <= 8  # and two for the features and for the rows of common times, which are tables
+
+
 def test_oi_change_divides_by_the_last_that_is_not_null(spark):
     df = spark.createDataFrame([(1, 10.0), (2, None), (3, 12.0), (4, 0.0), (5, 6.0)], "t long, v double")
     got = [r.p for r in df.withColumn("p", windows.last_before(F.col("v"), Window.orderBy("t"))).orderBy("t").collect()]
