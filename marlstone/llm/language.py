@@ -9,10 +9,15 @@ For each document the posterior of a language is the product of
 One more class, UNKNOWN, has uniform trigrams and a small prior: text in none of the languages. A document is rejected where its class is
 UNKNOWN, its posterior is under LEAST, or its text has no letters.
 
-The trigram models are counted over all labelled rows; languages are all that have at least LABELLED trigrams under their declaration, however
-many languages there are and whatever their share. Half a trigram is added to each bucket; LABELLED is the sum of these halves, so a model is at
-least half text, and trigrams that it hasn't seen are less likely under it than under UNKNOWN, by enough for UNKNOWN's prior. Models are sparse:
-a number per language and bucket seen. The declarations' and hosts' tables are counts of what the text alone says, taken over all documents by
+The trigram models are counted over all labelled rows. A language has a model of its own if its declaration has at least LABELLED trigrams, for the MODELS
+declarations with the most: that bounds the model, which is broadcast, whatever is declared. The text of all other declarations is pooled by script (the lead byte
+that its text holds most), a model per script. A text whose class is a pool is in the language that it's declared to be in, if that is one of those
+without a model; if it is declared otherwise or not at all it is UNKNOWN. So texts of small languages are kept, and `pooled` tells them. For the evidence of
+declarations all those without a model are one.
+
+At least half of a model is text: half a trigram is added to each bucket, and less where there are fewer than LABELLED, so that what is added is as much as the
+text. Trigrams that a model hasn't seen are thus less likely under it than under UNKNOWN, by enough for UNKNOWN's prior. Models are sparse:
+a number per class and bucket seen. The declarations' and hosts' tables are counts of what the text alone says, taken over all documents by
 grouped aggregation.
 
 Null text, url, host and declaration count as empty; an empty declaration is one of its own. Texts without letters are UNKNOWN and rejected.
@@ -35,12 +40,14 @@ from pyspark.sql import types as T
 from marlstone.llm.common import beside, last, materialize, put_back, released, ship, slices
 
 BUCKETS, EVIDENCE, LEAST = 1 << 13, 60, 0.5
-LABELLED = BUCKETS // 2
+LABELLED, MODELS = BUCKETS // 2, 1024
 #: Languages whose counts a task holds at once, and terms of a likelihood that are added up at once.
 HELD, TERMS = 256, 1 << 18
 UNKNOWN, UNKNOWN_PRIOR, SMOOTH = "und", 1e-9, 20.0
 BLOCK = 1 << 18
-RESULT = ("text_language", "language", "posterior", "letters", "accepted")
+RESULT = ("text_language", "language", "posterior", "letters", "pooled", "accepted")
+#: What declarations without a model count as in the evidence, and how the classes of pools are named.
+OTHER, POOL = "?", "~"
 #: Letters are a-z and all bytes from 128 on; other bytes are one blank.
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -58,18 +65,31 @@ def trigrams(text: str) -> Iterator[tuple[np.ndarray, int]]:
         yield ((code[code != 0x202020] * np.uint32(0x9E3779B1)) >> np.uint32(19)).astype(np.int64), own
 
 
+def script(text: str) -> int:
+    """Which script most characters are of: 0 for ASCII letters, otherwise half of the lead byte that comes most."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    n = np.zeros(256, np.int64)
+    for at in range(0, len(data), BLOCK):
+        n += np.bincount(data[at : at + BLOCK], minlength=256)
+    leads = n[0xC2:].copy()
+    leads = np.add.reduceat(leads, np.arange(0, len(leads), 2))
+    return 0 if n[65:91].sum() + n[97:123].sum() >= leads.sum() else 0x61 + int(leads.argmax())
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def told(seen: dict[str, np.ndarray]) -> pd.DataFrame:
+    def told(seen: dict[tuple[str, int], np.ndarray]) -> pd.DataFrame:
         at = [np.flatnonzero(n) for n in seen.values()]
-        return pd.DataFrame({"declared": np.repeat(np.array(list(seen), object), [len(x) for x in at]), "bucket": np.concatenate(at).astype(np.int32), "n": np.concatenate([n[x] for n, x in zip(seen.values(), at, strict=True)])})
+        size = [len(x) for x in at]
+        return pd.DataFrame({"declared": np.repeat(np.array([d for d, _ in seen], object), size), "script": np.repeat(np.array([k for _, k in seen], np.int32), size), "bucket": np.concatenate(at).astype(np.int32), "n": np.concatenate([n[x] for n, x in zip(seen.values(), at, strict=True)])})
 
-    seen: dict[str, np.ndarray] = {}
+    seen: dict[tuple[str, int], np.ndarray] = {}
     for b in batches:
         for t, lang in zip(b["text"], b["declared"], strict=True):
-            if lang not in seen and len(seen) >= HELD:
+            key = (lang, script(t))
+            if key not in seen and len(seen) >= HELD:
                 yield told(seen)
                 seen = {}
-            n = seen.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            n = seen.setdefault(key, np.zeros(BUCKETS, np.int64))
             for bucket, _ in trigrams(t):
                 n += np.bincount(bucket, minlength=BUCKETS)
     if seen:
@@ -77,18 +97,19 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """Log-probabilities of buckets under each class. Half a trigram in each bucket gives all buckets of a class the same log-probability,
-    `floor`; a bucket seen n times has log(2n + 1) more, and only these terms are kept, by bucket."""
+    """Log-probabilities of buckets under each class. Half a trigram in each bucket, or less for little text, gives all buckets of a class the same
+    log-probability, `floor`; a bucket seen n times has log(n / added + 1) more, and only these terms are kept, by bucket."""
 
     def __init__(self, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """found: (buckets, their counts) of each class."""
+        """found: (buckets, their counts) of each class. One without text is uniform."""
         total = np.array([n.sum() for _, n in found], np.float64)
-        self.floor = np.log(0.5 / (total + 0.5 * BUCKETS))
+        added = 0.5 * np.where(total > 0, np.minimum(1.0, total / LABELLED), 1.0)
+        self.floor = np.log(added / (total + added * BUCKETS))
         bucket = np.concatenate([b for b, _ in found])
         order = np.argsort(bucket, kind="stable")
         self.at = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
         self.cls = np.repeat(np.arange(len(found), dtype=np.int32), [len(b) for b, _ in found])[order]
-        self.more = np.concatenate([np.log(2.0 * n + 1).astype(np.float32) for _, n in found])[order]
+        self.more = np.concatenate([np.log(n / a + 1).astype(np.float32) for a, (_, n) in zip(added, found, strict=True)])[order]
 
     def loglik(self, bucket: np.ndarray) -> np.ndarray:
         """Log-likelihood of a text's buckets under each class."""
@@ -102,14 +123,17 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, least: int = LABELLED) -> tuple[list[str], Model]:
-    """(classes, model), UNKNOWN last, from all rows of (text, declared)."""
-    rows = labelled.where("declared <> ''").select("text", "declared").mapInPandas(released(_count), "declared string, bucket int, n long")
-    rows = rows.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).groupBy("declared").agg(F.sum("n").alias("n"), F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts"))
-    each = materialize(rows.where(F.col("n") >= least), "language-trigrams")
-    found = {r.declared: (np.array(r.buckets, np.int32), np.array(r.counts, np.int64)) for r in each.toLocalIterator()}  # a row per language
-    languages = sorted(found)
-    return [*languages, UNKNOWN], Model([*(found[x] for x in languages), (np.empty(0, np.int32), np.empty(0, np.int64))])
+def fit(labelled: DataFrame, least: int = LABELLED, most: int = MODELS) -> tuple[list[str], Model]:
+    """(classes, model) from all rows of (text, declared): languages with a model of their own, pools, and UNKNOWN last."""
+    rows = labelled.where("declared <> ''").select("text", "declared").mapInPandas(released(_count), "declared string, script int, bucket int, n long")
+    counts = materialize(rows.groupBy("declared", "script", "bucket").agg(F.sum("n").alias("n")), "language-trigrams")
+    own = counts.groupBy("declared").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "declared").limit(most)
+    languages = sorted(r.declared for r in own.collect())
+    named = counts.withColumn("cls", F.when(F.col("declared").isin(languages), F.col("declared")).otherwise(F.concat(F.lit(POOL), F.col("script").cast("string"))))
+    each = named.groupBy("cls", "bucket").agg(F.sum("n").alias("n")).groupBy("cls").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts"))
+    found = {r.cls: (np.array(r.buckets, np.int32), np.array(r.counts, np.int64)) for r in each.toLocalIterator()}  # a row per class, of BUCKETS numbers at most
+    classes = [*languages, *sorted(set(found) - set(languages))]
+    return [*classes, UNKNOWN], Model([*(found[x] for x in classes), (np.empty(0, np.int32), np.empty(0, np.int64))])
 
 
 def _loglik(text: str, model: Model) -> tuple[np.ndarray, int]:
@@ -132,19 +156,26 @@ def _decide(model):
     return released(run)
 
 
+def named(cls: str, declared: str, shown: str) -> str:
+    """The language of a text of that class: a pool's is the declared one, if that has no model of its own."""
+    return cls if not cls.startswith(POOL) else declared if shown == OTHER else UNKNOWN
+
+
 def _fuse(model, classes: list[str]):
     """The posterior of each row, from its text, the prior of its host and what its declaration says. Other columns pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out = []
-            for t, prior, says in zip(b.column("text").to_pylist(), b.column("prior").to_pylist(), b.column("says").to_pylist(), strict=True):
+            for t, prior, says, declared, shown in zip(*(b.column(c).to_pylist() for c in ("text", "prior", "says", "raw", "declared")), strict=True):
                 x, own = _loglik(t or "", model.value)
                 joint = x + np.log(prior) + np.array(says)
                 at = int(np.argmax(joint)) if own else len(classes) - 1
                 p = float(np.exp(joint[at] - joint.max()) / np.exp(joint - joint.max()).sum())
-                out.append((classes[int(np.argmax(x)) if own else -1], classes[at], p, own, at < len(classes) - 1 and p >= LEAST))
-            kinds = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.bool_())
+                language = named(classes[at], declared, shown)
+                pooled = language != UNKNOWN and classes[at].startswith(POOL)
+                out.append((named(classes[int(np.argmax(x)) if own else -1], declared, shown), language, p, own, pooled, language != UNKNOWN and p >= LEAST))
+            kinds = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.bool_(), pa.bool_())
             cols = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column("rest"), b.column("text"), *cols], names=["rest", "text", *RESULT])
 
@@ -203,22 +234,24 @@ def declarations(decided: DataFrame, k: int, smooth: float = SMOOTH) -> DataFram
 
 
 def identify(docs: DataFrame, declared: Column, host: Column, text_col: str = "text", smooth: float = SMOOTH) -> DataFrame:
-    """All columns of docs, and a struct `identified` of text_language, language, posterior, letters and accepted."""
+    """All columns of docs, and a struct `identified` of text_language, language, posterior, letters, pooled and accepted."""
     spark = docs.sparkSession
     ship(spark)
     blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    rows = docs.select(beside(docs, text_col), F.col(f"`{text_col}`").alias("text"), F.lower(F.trim(blank(declared))).alias("declared"), F.lower(F.trim(blank(host))).alias("host"))
+    rows = docs.select(beside(docs, text_col), F.col(f"`{text_col}`").alias("text"), F.lower(F.trim(blank(declared))).alias("raw"), F.lower(F.trim(blank(host))).alias("host"))
     domain, suffix = host_parts(F.col("host"))
     rows = rows.withColumns({"domain": domain, "suffix": suffix})
+    classes, fitted = fit(rows.select(blank(F.col("text")).alias("text"), F.col("raw").alias("declared")))
+    modelled = [c for c in classes[:-1] if not c.startswith(POOL)]
+    rows = rows.withColumn("declared", F.when(F.col("raw").isin("", *modelled), F.col("raw")).otherwise(OTHER))
     texts = rows.select("declared", "host", "domain", "suffix", blank(F.col("text")).alias("text"))
-    classes, fitted = fit(texts.select("text", "declared"))
     model, k = spark.sparkContext.broadcast(fitted), len(classes)
     decided = texts.mapInPandas(_decide(model), "declared string, host string, domain string, suffix string, best int").groupBy("declared", "host", "domain", "suffix", "best").agg(F.count(F.lit(1)).alias("n"))
     decided = materialize(decided, "language-decisions")
     priors, says = materialize(host_priors(decided, k, smooth), "host-priors"), materialize(declarations(decided, k, smooth), "declarations")
     # a row per host and per declaration: Spark sends these to all tasks where they are small, and splits large hosts where they aren't
-    both = rows.join(priors, ["suffix", "domain", "host"]).join(says, "declared").select("rest", "text", "prior", "says")
-    kinds = (T.StringType(), T.StringType(), T.DoubleType(), T.LongType(), T.BooleanType())
+    both = rows.join(priors, ["suffix", "domain", "host"]).join(says, "declared").select("rest", "text", "prior", "says", "raw", "declared")
+    kinds = (T.StringType(), T.StringType(), T.DoubleType(), T.LongType(), T.BooleanType(), T.BooleanType())
     schema = T.StructType([both.schema["rest"], both.schema["text"], *(T.StructField(n, t) for n, t in zip(RESULT, kinds, strict=True))])
     out = both.mapInArrow(_fuse(model, classes), schema)
     return put_back(out, docs, text_col, F.struct(*RESULT), "identified")
