@@ -5,7 +5,8 @@ that ends there and occurs in an item is known. Where it reaches WINDOW, the las
 words is a window of its own, marked at the state that holds all of it. All words of such occurrences are hit.
 
 Items are dealt into blocks of at most BLOCK_WORDS words (one item's length more at most). One block at a time is collected and broadcast, so
-what the driver and a task hold is bounded whatever the benchmark's size; documents pass once per block. Null and empty texts have no words.
+what the driver and a task hold is bounded whatever the benchmark's size; documents pass once per block. With one block, one pass is all; with several, each
+pass writes its findings by the texts' SHA-256, the documents themselves are never written, and findings are joined to them in the end. Null and empty texts have no words.
 Repeated rows and null ids give a row each; items with null or empty texts never occur, and the words of one without an id are hit like all
 others but add nothing to the items found. Items with the same words all occur. Very long texts are taken whole; their time grows with their
 length. An empty table gives no rows, an empty benchmark no hits. Other columns, whatever their names, are handed on as they are.
@@ -13,7 +14,8 @@ length. An empty table gives no rows, an empty benchmark no hits. Other columns,
 
 from __future__ import annotations
 
-import hashlib
+import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import LOWER, UPPER, beside, documents, last, materialize, new_path, put_back, released, ship, slices
+from marlstone.llm.common import LOWER, UPPER, beside, documents, free_name, last, materialize, new_path, put_back, released, ship, slices
 
 WINDOW, BLOCK_WORDS = 10, 200_000
 #: A document is dropped when more than this share of its words is hit.
@@ -146,7 +148,7 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, id_co
     """Blocks of (item id as text, words), one at a time; an item's block follows from the words of the items before it. The driver holds one block."""
     rows = documents(benchmark, id_col, text_col).select(F.col("doc_id").cast("string").alias("item"), "text", F.xxhash64("doc_id", "text").alias("h"))
     # a sum per bucket of the hash, and one within it, put items in blocks without ordering all of them in one task
-    rows = rows.withColumn("bucket", F.pmod("h", F.lit(4096))).withColumn("n", F.length("text") / 2)
+    rows = rows.withColumn("bucket", F.pmod("h", F.lit(4096))).withColumn("n", F.regexp_count(F.translate("text", UPPER, LOWER), F.lit(_WORD.pattern)).cast("double"))
     sums = rows.groupBy("bucket").agg(F.sum("n").alias("s")).withColumn("before", F.coalesce(F.sum("s").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("h", "item").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     placed = rows.join(F.broadcast(sums), "bucket").withColumn("block", F.floor((inside + F.col("before")) / block_words))  # at most 4096 sums
@@ -158,25 +160,39 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, id_co
         yield [(i, w) for i, w in items if w]
 
 
-SPANS = T.ArrayType(T.ArrayType(T.LongType()))
-
-
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text_col: str = "text") -> DataFrame:
     """All columns of docs, and a struct `found` of n_words, spans (maximal hit spans of words as [first, last)), items (in order of their
     text) and longest."""
     spark = docs.sparkSession
     ship(spark)
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType())]
-    rows = docs.select(beside(docs, text_col), F.col(f"`{text_col}`").alias("text"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
-    schema = T.StructType([rows.schema["rest"], rows.schema["text"], *fields])
     blocks = benchmark_blocks(benchmark, block_words)
-    handle = spark.sparkContext.broadcast(next(blocks, []))
-    for items in blocks:  # a block's pass ends before the next block is collected; the last one is left to the caller's action
-        rows = materialize(rows.mapInArrow(_pass(handle, window), schema), "decontamination-pass")
-        handle.unpersist()
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        fields = T._parse_datatype_string(_FOUND).fields
+        rows = docs.select(beside(docs, text_col), F.col(f"`{text_col}`").alias("text"))
+        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(first), window, ["rest", "text"]), T.StructType([rows.schema["rest"], rows.schema["text"], *fields]))
+        return put_back(rows, docs, text_col, F.struct(*(f.name for f in fields)), "found")
+    # several blocks: a pass over the texts for each, which writes what it finds by the text's digest; the documents themselves are not written
+    keyed = docs.select(_digest(text_col).alias("key"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    parts = []
+    for items in itertools.chain([first, second], blocks):  # a block's pass ends before the next block is collected
         handle = spark.sparkContext.broadcast(items)
-    rows = rows.mapInArrow(_pass(handle, window), schema)
-    return put_back(rows, docs, text_col, F.struct(*(f.name for f in fields)), "found")
+        found = keyed.mapInArrow(_pass(handle, window, ["key"]), f"key binary, {_FOUND}").where("n_words > 0").dropDuplicates(["key"])
+        parts.append(materialize(found, "decontamination-findings"))
+        handle.destroy()
+    whole = functools.reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))  # a row per block of each key
+    whole = whole.mapInArrow(released(_merged), f"key binary, {_FOUND}").select(F.col("key").alias("_key"), F.struct(*(f.name for f in T._parse_datatype_string(_FOUND).fields)).alias("_found"))
+    none = F.expr("named_struct('n_words', 0L, 'spans', cast(array() as array<array<bigint>>), 'items', cast(array() as array<string>), 'longest', 0L)")
+    key = free_name(docs, "key")
+    both = docs.withColumn(key, _digest(text_col)).join(whole, F.col(f"`{key}`") == F.col("_key"), "left")
+    return both.select(*(docs[f"`{c}`"] for c in docs.columns), F.coalesce("_found", none).alias(free_name(docs, "found")))
+
+
+_FOUND = "n_words long, spans array<array<long>>, items array<string>, longest long"
+
+
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.col(f"`{text_col}`"), 256))
 
 
 _automata: dict[tuple[int, int], tuple] = {}
@@ -190,29 +206,34 @@ def automaton(handle, window: int) -> Automaton:
     return found[1]
 
 
-def _pass(handle, window: int):
-    """One block's automaton over all documents; what earlier blocks found is kept. Other columns pass through."""
+def _pass(handle, window: int, through: list[str]):
+    """One block's automaton over all texts, beside the columns to hand through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(handle, window)
         for b in slices(batches):
             if b.num_rows:
                 n, spans, items, longest = [], [], [], []
-                for t, s, i, m in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "items", "longest")), strict=True):
+                for t in b.column("text").to_pylist():
                     ws = words(t)
-                    new_s, new_i, new_m = found.match(ws)
+                    s, i, m = found.match(ws)
                     n.append(len(ws))
-                    spans.append([list(x) for x in (_union([tuple(x) for x in s], new_s) if s is not None else new_s)])
-                    items.append(sorted(new_i.union(i or ())))
-                    longest.append(max(m or 0, new_m))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("rest"), b.column("text"), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())],
-                    names=["rest", "text", "n_words", "spans", "items", "longest"],
-                )
+                    spans.append([list(x) for x in s])
+                    items.append(sorted(i))
+                    longest.append(m)
+                columns = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in through), *columns], names=[*through, "n_words", "spans", "items", "longest"])
 
     return released(run)
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of several blocks as maximal ones."""
+    for b in batches:
+        spans = [[list(x) for x in _union([], [tuple(x) for x in s])] for s in b.column("spans").to_pylist()]
+        yield b.set_column(b.schema.get_field_index("spans"), "spans", pa.array(spans, pa.list_(pa.list_(pa.int64()))))
+
+
 def _union(a: list, b: list) -> list:
     out: list = []
     for s in sorted([*a, *b]):

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 from shared import make, prose
@@ -116,3 +117,32 @@ def test_benchmark_with_clashing_columns_and_blocks_one_at_a_time(spark, items):
     docs = make(spark, [(1, items[4][1])])
     got = [decontaminate.find(docs, b, block_words=50).collect() for b in (bench, more)]
     assert got[0] == got[1] and len(list(decontaminate.benchmark_blocks(more, 50))) > 3
+
+
+def _size(path):
+    return sum(f.stat().st_size for f in Path(path).rglob("*.parquet"))
+
+
+def test_ten_blocks_write_no_documents(spark, tmp_path, monkeypatch):
+    """As many hits as with one block, and under half of the documents' bytes written."""
+    rng = random.Random(9)
+    items = [(f"i{k}", prose(rng, 100)) for k in range(40)]
+    rows = [(k, prose(rng, 500) + (" " + rng.choice(items)[1] if k % 3 == 0 else "")) for k in range(300)]
+    rows += [(1000 + k, rows[0][1]) for k in range(50)] + [(2000, None), (None, rows[3][1])]
+    make(spark, rows).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    written, real = [], decontaminate.materialize
+
+    def kept(df, name, **kw):
+        out = real(df, name, **kw)
+        written.append(out._marlstone_path)
+        return out
+
+    monkeypatch.setattr(decontaminate, "materialize", kept)
+    rows_of = lambda d: sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["text"], r["found"].n_words, [list(x) for x in r["found"].spans], list(r["found"]["items"]), r["found"].longest) for r in d.collect())
+    many = rows_of(decontaminate.find(docs, bench, block_words=400))
+    assert len(written) >= 10 and sum(_size(p.removeprefix("file:")) for p in written) < 0.5 * _size(tmp_path / "docs")
+    one = rows_of(decontaminate.find(docs, bench))
+    assert [r[:5] for r in many] == [r[:5] for r in one] and sum(bool(r[3]) for r in one) > 100
+    assert {k.text for k in decontaminate.decontaminate(docs, bench).collect()} >= {None}
