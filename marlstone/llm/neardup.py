@@ -189,7 +189,10 @@ def stage(spark, docs: DataFrame, sf: str) -> DataFrame:
     """Pipeline: of each group of near-duplicates the document with the smallest id stays, once if its row is repeated. Rows without an id stay."""
     with owned(spark):
         found = materialize(near_duplicates(docs).select("doc_id", "kept"), "near-dedup", outlives=True)
-    gone = found.where("not kept").select("doc_id").distinct()
+    # a table of its own, whose size is known before the join is planned, so that texts stay where they lie while it is small; ids of 8 bytes at most are
+    # broadcast up to WANTED of them
+    gone = materialize(found.where("not kept").select("doc_id").distinct(), "gone")
+    gone = checked_broadcast(gone, WANTED) if dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint") else gone
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = materialize(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
     if again.isEmpty():
