@@ -164,6 +164,8 @@ SELECT t.model, t.status, CASE WHEN t.missing_features = '' THEN fold_count ELSE
 FROM status t JOIN o USING (model)"""
 
 
+_OBSERVED = f'WITH {_ONCHAIN} SELECT asset, available_time_ms - {DAY} AS metric_time_ms, "AdrActCnt", "TxCnt", round("FeeTotNtv", 8) AS "FeeTotNtv" FROM onchain'
+
 ORACLES: dict[str, str] = {
     "dedup_keep_last": f"SELECT user_id, day, event_id, event_type, value FROM (SELECT *, (epoch_us(ts) // 1000) // {DAY} AS day, row_number() OVER (PARTITION BY user_id, (epoch_us(ts) // 1000) // {DAY} ORDER BY event_id DESC) AS k FROM events) WHERE k = 1",
     "bars_hourly": f'{_B} SELECT symbol, open_time_ms, close_time_ms, "open", high, low, "close", round(volume, 8) AS volume, "count", round(taker_buy_volume, 8) AS taker_buy_volume FROM bars',
@@ -229,6 +231,8 @@ round(arg_max_null(sum_open_interest_value, timestamp_ms), 8) AS sum_open_intere
     "source_metrics": f"""WITH {_METRICS} SELECT upper(symbol) AS symbol, timestamp_ms // 1000 * 1000 AS timestamp_ms, round(arg_max(taker_long_short_ratio, timestamp_ms), 8) AS taker_long_short_ratio,
 round(arg_max_null(sum_open_interest_value, timestamp_ms), 8) AS sum_open_interest_value FROM metrics GROUP BY 1, 2""",
     "source_onchain": f'WITH {_ONCHAIN} SELECT asset, available_time_ms - {DAY} AS metric_time_ms, available_time_ms, "AdrActCnt", "TxCnt", round("FeeTotNtv", 8) AS "FeeTotNtv" FROM onchain',
+    "http_asset_metrics": _OBSERVED,
+    "http_metrics_stream": _OBSERVED,
     "stream_bar_features": f"""{_B}, {_FEATURES}, q AS (SELECT *, CASE WHEN "count" % 7 <> 0 THEN volume END AS oi FROM feat),
 p AS (SELECT *, last_value(oi IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY close_time_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM q)
 SELECT symbol, close_time_ms, {_round(['ret1', 'ret24', 'z_ret1', 'z_ret4', 'z_ret24', 'z_order_imb', 'rv24', 'z_rv24'], 7)}, round(CASE WHEN prev <> 0 THEN oi / prev - 1 END, 7) + 0.0 AS oi_change FROM p""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from marlstone.operators import windows as W
 from marlstone.operators.tables import materialize, new_path
 from marlstone.plans import evaluate as G
 from marlstone.plans import panel as P
-from marlstone.sources import files, vendor
+from marlstone.shipping import ship_package
+from marlstone.sources import files, http, vendor
 from marlstone.streaming.features import latest, stream_features
 from marlstone.protocol import FEATURE_SETS, Costs, Protocol, default_protocol
 
@@ -373,6 +375,44 @@ def source_onchain(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(files.load_onchain(spark, root).select("asset", "metric_time_ms", "available_time_ms", "AdrActCnt", "TxCnt", "FeeTotNtv"))
 
 
+def _canned(spark: SparkSession, sf: str, per_page: int = 4) -> tuple[dict[str, bytes], dict[str, str]]:
+    """(address: answer, request) of a provider that has the days' observations, a few to a page. The driver holds a row per day."""
+    text = lambda c: F.col(c).cast("string").alias(c)
+    at = F.date_format(F.timestamp_millis("metric_time_ms"), "yyyy-MM-dd'T'HH:mm:ss'.000000000Z'")
+    days = onchain(spark, sf).select(at.alias("time"), F.lit(BENCHMARK).alias("asset"), text("AdrActCnt"), text("TxCnt"), text("FeeTotNtv")).orderBy("time")
+    items = [json.loads(r[0]) for r in days.select(F.to_json(F.struct("*"))).collect()]
+    request = {"assets": BENCHMARK, "metrics": "AdrActCnt,TxCnt,FeeTotNtv"}
+    pages = [items[k : k + per_page] for k in range(0, len(items), per_page)] or [[]]
+    address = [http.request_url("asset_metrics", request)] + [f"{http.CHAIN_BASE}/timeseries/asset-metrics?next_page_token={k}" for k in range(1, len(pages))]
+    return {a: json.dumps({"data": p, **({"next_page_url": address[k + 1]} if k + 1 < len(pages) else {})}).encode() for k, (a, p) in enumerate(zip(address, pages, strict=True))}, request
+
+
+def _observations(items: DataFrame) -> DataFrame:
+    d = F.from_json("item", "time string, asset string, AdrActCnt string, TxCnt string, FeeTotNtv string")
+    at = F.unix_millis(F.to_timestamp(F.regexp_replace(d["time"], r"(\.\d{6})\d+", "$1")))
+    return rounded(items.select(d["asset"].alias("asset"), at.alias("metric_time_ms"), *(V.lenient_double(d[c]).alias(c) for c in ("AdrActCnt", "TxCnt", "FeeTotNtv"))))
+
+
+def http_asset_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The days' observations from a provider's pages."""
+    answers, request = _canned(spark, sf)
+    ship_package(spark)
+    spark.dataSource.register(http.provider(lambda url: (200, answers[url])))
+    return _observations(spark.read.format("market_http").option("endpoint", "asset_metrics").option("requests", json.dumps([request])).load())
+
+
+def http_metrics_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stream of three pages a batch, which stops after each and goes on from its checkpoint."""
+    answers, request = _canned(spark, sf)
+    ship_package(spark)
+    spark.dataSource.register(http.provider(lambda url: (200, answers[url])))
+    out, state = new_path(spark, "http-items"), new_path(spark, "http-state")
+    for _ in range(-(-len(answers) // 3) + 1):
+        stream = spark.readStream.format("market_http").option("request", json.dumps(request)).option("pagesPerBatch", "3").load()
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return _observations(spark.read.schema("request string, item string").parquet(out))
+
+
 def stream_bar_features(spark: SparkSession, sf: str) -> DataFrame:
     """Features of the bars as a stream of seven batches, each of which has bars of all times, so that later ones revise earlier ones."""
     b = bars(spark, sf).select("symbol", "close_time_ms", "close", "volume", "taker_buy_volume", F.when(F.col("count") % 7 != 0, F.col("volume")).alias("oi"))
@@ -402,6 +442,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         feature_availability, universe_check, timestamp_index, fold_generator, fold_membership, missing_features, score_position, turnover_cost, portfolio_returns,
         drawdown, fold_summary, overall_summary, candidate_screen, cost_styles, event_score, join_cardinality, key_multiplicity, top_key_products, key_intersection,
         asset_from_symbol, epoch_normalize, lenient_cast, sha256_rows, calendar_reindex, wide_to_long,
-        complete_rows, model_status, evaluation_overall, source_spot_bars, source_pruned_bars, source_pruned_metrics, source_derivative_bars, source_metrics, source_onchain, source_panel_csv, stream_bar_features,
+        complete_rows, model_status, evaluation_overall, source_spot_bars, source_pruned_bars, source_pruned_metrics, source_derivative_bars, source_metrics, source_onchain, source_panel_csv, stream_bar_features, http_asset_metrics, http_metrics_stream,
     )
 }

@@ -9,7 +9,7 @@ from datetime import UTC, datetime
 from typing import Any
 from urllib.parse import urlencode, urlsplit, urlunsplit
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 #: Hosts that may be read, base addresses and endpoint paths.
 SPOT_BASE = "https://api.binance.com"
@@ -98,18 +98,22 @@ def pages(endpoint: str, params: dict[str, Any], fetch: Fetcher) -> Iterator[Any
         answer = get_json(url, fetch)
         yield from answer if isinstance(answer, list) else [answer]
         return
-    own = {urlsplit(CHAIN_BASE).hostname}
     for _ in range(MAX_PAGES):
-        page = get_json(url, fetch, own)
-        if not isinstance(page, dict):
-            raise BadPayload(f"{url} didn't answer with a page of items")
-        yield from page.get("data", [])
-        url = page.get("next_page_url")
+        items, url = page_of(url, fetch)
+        yield from items
         if not url:
             return
     raise BadPayload(f"more than {MAX_PAGES} pages")
 
 
+def page_of(url: str, fetch: Fetcher) -> tuple[list[Any], str | None]:
+    """(items, address of the next page or None) of a page of asset_metrics."""
+    page = get_json(url, fetch, {urlsplit(CHAIN_BASE).hostname})
+    if not isinstance(page, dict):
+        raise BadPayload(f"{url} didn't answer with a page of items")
+    return page.get("data", []), page.get("next_page_url")
+
+
 class _Request(InputPartition):
     def __init__(self, params: dict[str, Any]) -> None:
         super().__init__(params)
@@ -129,9 +133,51 @@ class _Reader(DataSourceReader):
             yield echo, json.dumps(item, sort_keys=True)
 
 
+class PagedItems(SimpleDataSourceStreamReader):
+    """asset_metrics as a stream. The offset is the page to go on from and how many of its items are taken, so a query that starts again goes on in the middle of
+    the paging, and a batch that is repeated has the same items. A batch reads at most `pagesPerBatch` pages; at the last page it waits for more items or a next one."""
+
+    def __init__(self, options: dict[str, str], fetch: Fetcher) -> None:
+        self.params, self.most, self.fetch = json.loads(options.get("request", "{}")), int(options.get("pagesPerBatch", "10")), fetch
+        self.echo = json.dumps(self.params, sort_keys=True)
+
+    def initialOffset(self) -> dict[str, Any]:
+        return {"url": request_url("asset_metrics", self.params), "taken": 0}
+
+    def _rows(self, items: list[Any]) -> list[tuple[str, str]]:
+        return [(self.echo, json.dumps(x, sort_keys=True)) for x in items]
+
+    def read(self, start: dict[str, Any]) -> tuple[Iterator[tuple[str, str]], dict[str, Any]]:
+        rows: list[tuple[str, str]] = []
+        at = dict(start)
+        for _ in range(self.most):
+            items, following = page_of(at["url"], self.fetch)
+            rows += self._rows(items[at["taken"] :])
+            if not following:
+                at = {"url": at["url"], "taken": max(at["taken"], len(items))}
+                break
+            at = {"url": following, "taken": 0}
+        return iter(rows), at
+
+    def readBetweenOffsets(self, start: dict[str, Any], end: dict[str, Any]) -> Iterator[tuple[str, str]]:
+        at = dict(start)
+        while True:
+            last = at["url"] == end["url"]
+            if last and end["taken"] <= at["taken"]:
+                return
+            items, following = page_of(at["url"], self.fetch)
+            yield from self._rows(items[at["taken"] : end["taken"] if last else None])
+            if last:
+                return
+            if not following:
+                raise BadPayload(f"{at['url']} led to {end['url']} before and is now the last page")
+            at = {"url": following, "taken": 0}
+
+
 def provider(fetch: Fetcher = urlopen_fetcher) -> type[DataSource]:
     """A data source class to register: ``spark.dataSource.register(provider(fetch))``, then
-    ``spark.read.format("market_http").option("endpoint", name).option("requests", json_list).load()``: one partition per request."""
+    ``spark.read.format("market_http").option("endpoint", name).option("requests", json_list).load()``: one partition per request. As a stream,
+    ``spark.readStream.format("market_http").option("request", json).option("pagesPerBatch", n).load()``: asset_metrics page by page."""
 
     class MarketHttp(DataSource):
         @classmethod
@@ -144,6 +190,9 @@ def provider(fetch: Fetcher = urlopen_fetcher) -> type[DataSource]:
         def reader(self, schema: Any) -> DataSourceReader:
             return _Reader(dict(self.options), fetch)
 
+        def simpleStreamReader(self, schema: Any) -> PagedItems:
+            return PagedItems(self.options, fetch)
+
     return MarketHttp
 
 
