@@ -237,4 +237,5 @@ round(arg_max_null(sum_open_interest_value, timestamp_ms), 8) AS sum_open_intere
 p AS (SELECT *, last_value(oi IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY close_time_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM q)
 SELECT symbol, close_time_ms, {_round(['ret1', 'ret24', 'z_ret1', 'z_ret4', 'z_ret24', 'z_order_imb', 'rv24', 'z_rv24'], 7)}, round(CASE WHEN prev <> 0 THEN oi / prev - 1 END, 7) + 0.0 AS oi_change FROM p""",
     "source_panel_csv": f'WITH {_panel(DAY)} SELECT "timestamp", decision_time_ms, asset, {_round(["forward_return", "benchmark_return", "momentum_1h"], 7)}, target_close_time FROM panel',
+    "source_committed_panel": f'WITH {_panel(DAY)} SELECT "timestamp", decision_time_ms, asset, {_round(["forward_return", "benchmark_return", "momentum_1h"], 7)}, target_close_time FROM panel',
 }

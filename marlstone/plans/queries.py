@@ -17,7 +17,7 @@ from marlstone.operators.tables import materialize, new_path
 from marlstone.plans import evaluate as G
 from marlstone.plans import panel as P
 from marlstone.shipping import ship_package
-from marlstone.sources import files, http, vendor
+from marlstone.sources import committed, files, http, vendor
 from marlstone.streaming.features import latest, stream_features
 from marlstone.protocol import FEATURE_SETS, Costs, Protocol, default_protocol
 
@@ -375,6 +375,14 @@ def source_onchain(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(files.load_onchain(spark, root).select("asset", "metric_time_ms", "available_time_ms", "AdrActCnt", "TxCnt", "FeeTotNtv"))
 
 
+def source_committed_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily panel as parts under a manifest, every digest checked before they are read again."""
+    path = new_path(spark, "committed-panel")
+    committed.write_committed(panel(spark, sf, DAY), path)
+    p = committed.verified(spark, path)
+    return rounded(p.select("timestamp", "decision_time_ms", "asset", "forward_return", "benchmark_return", "momentum_1h", "target_close_time"), 7)
+
+
 def _canned(spark: SparkSession, sf: str, per_page: int = 4) -> tuple[dict[str, bytes], dict[str, str]]:
     """(address: answer, request) of a provider that has the days' observations, a few to a page. The driver holds a row per day."""
     text = lambda c: F.col(c).cast("string").alias(c)
@@ -442,6 +450,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         feature_availability, universe_check, timestamp_index, fold_generator, fold_membership, missing_features, score_position, turnover_cost, portfolio_returns,
         drawdown, fold_summary, overall_summary, candidate_screen, cost_styles, event_score, join_cardinality, key_multiplicity, top_key_products, key_intersection,
         asset_from_symbol, epoch_normalize, lenient_cast, sha256_rows, calendar_reindex, wide_to_long,
-        complete_rows, model_status, evaluation_overall, source_spot_bars, source_pruned_bars, source_pruned_metrics, source_derivative_bars, source_metrics, source_onchain, source_panel_csv, stream_bar_features, http_asset_metrics, http_metrics_stream,
+        complete_rows, model_status, evaluation_overall, source_spot_bars, source_pruned_bars, source_pruned_metrics, source_derivative_bars, source_metrics, source_onchain, source_panel_csv, source_committed_panel, stream_bar_features, http_asset_metrics, http_metrics_stream,
     )
 }
