@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 #: Epoch values strictly above this are microseconds.
@@ -70,3 +70,10 @@ def growth(now: Column, before: Column) -> Column:
 
 def default_asset(asset: Column) -> Column:
     return F.coalesce(F.nullif(asset, F.lit("")), F.lit("__portfolio__"))
+
+
+def fixed_sum(value: Column, over: WindowSpec | None = None) -> Column:
+    """The sum of the finite values as a double, the same bits in whatever order they come: values are added as decimals of 20 places, which is exact. Sums
+    of 10 ** 18 or more raise."""
+    total = F.sum(finite(value.cast("double")).cast("decimal(38,20)"))
+    return (total.over(over) if over is not None else total).cast("double")

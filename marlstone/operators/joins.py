@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.values import simple_return
+from marlstone.functions.values import fixed_sum, simple_return
 
 #: A dimension of at most so many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -99,7 +99,7 @@ def benchmark(features: DataFrame, symbol: str) -> DataFrame:
 
 
 def leave_one_out(value: str, at: str) -> Column:
-    """Mean of the others' values at the same time, less the own; null if there are no others or the own is null."""
+    """Mean of the others' values at the same time, less the own; null if there are no others or the own is null. The order of rows decides no bit."""
     w = Window.partitionBy(at)
-    n, total, own = F.count(value).over(w), F.sum(value).over(w), F.col(value)
+    n, total, own = F.count(value).over(w), fixed_sum(F.col(value), w), F.col(value)
     return F.when(own.isNotNull() & (n > 1), (total - own) / F.nullif(n - 1, F.lit(0)) - own)
