@@ -9,7 +9,9 @@
 
 Training documents are those whose crc32(id as text) mod FOLDS is not HELD_OUT. Words are the bytes between ASCII white space, A-Z lowered,
 known by a 61-bit hash and three bits for their shape (last byte a letter, a full stop, a comma or another; with or without bytes above 127).
-Null and empty texts are the end token alone. A null id counts as an empty text's crc32. Repeated rows each count and each get a score.
+Null and empty texts are the end token alone. A null id counts as an empty text's crc32. Repeated rows each count and each get a score. Very long texts
+are scored whole, in windows between which the state is carried. Words of equal counts are told apart by their hash where the network's words are chosen, so ties
+depend on no order of rows. Which documents a task trains on follows from how the rows are split: scores, not the base columns, differ with the layout of files.
 Empty tables give no rows. Other columns, whatever their names, play no part.
 """
 

@@ -1,6 +1,6 @@
 """Exact substring dedup: bytes under a string of LENGTH bytes that also starts anywhere else.
 
-Suffixes are ordered through their first LENGTH bytes only, by most-significant-digit passes; groups that are still equal after the last pass
+Suffixes are split by their first LENGTH bytes only, in passes over digits of eight bytes; groups that are still equal after the last pass
 are exactly the repeated windows. What can't be equal is ruled out first, so one row for some 70 suffixes is shuffled and not one per suffix:
 
     anchors    Windows that are equal have the same anchor (windows_of_bytes.py), and neighbours mostly share it. Windows whose anchor's hash
@@ -11,7 +11,9 @@ are exactly the repeated windows. What can't be equal is ruled out first, so one
                pass, in numpy over all contexts of an anchor; where an anchor has more than CROWD contexts, which could be any number, by
                Spark, in passes of wider digits (DIGITS), each a grouping by the bytes themselves. Groups of one are dropped after each pass.
 
-Only bytes make windows equal; the anchors' hashes only rule out. Copies of a text add to counts that Spark sums before it shuffles them, so
+Within an anchor bytes make windows equal, and anchors' hashes only rule out. That two contexts are copies of each other rests on their digest: four of five
+distinct repeated windows are known by it, the others by the digits. Digits are taken from the first eight bytes, then the last eight, then the rest in order, as
+the last tell most windows apart; equality doesn't depend on that order, and no order of suffixes is returned. Copies of a text add to counts that Spark sums before it shuffles them, so
 large groups of copies don't meet in one task.
 
 Null and empty texts have nothing to remove. Repeated rows are copies of each other, with ids or without; ids of any type are handed on as they
