@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Null and empty texts have no letters, so language identification rejects them. Rows without an id pass every stage and are never joined by it; of rows that are
+repeated one stays, after line dedup or near-dedup. Ids of any type that Spark orders, very long texts and further columns of any name pass as they are; ties go to the
+smallest id. Empty tables, at any stage, give no rows of the right columns.
+"""
 
 from __future__ import annotations
 
