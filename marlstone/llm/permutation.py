@@ -11,7 +11,7 @@ Search takes queries in blocks of some QUERIES, one on the driver and in a broad
 through its segments and keeps the k nearest of each query of the block; a window over those makes the result. Segments follow the rows as they are read and
 not their places in space, so a vector that very many rows repeat makes no segment larger than others.
 
-SHARE is a share, so recall holds at every size: measured against brute force it is 0.95 at 10,000 vectors of 64 dimensions, 0.98 at 51,000, and
+SHARE is a share, so recall holds at every size: measured against brute force it is 0.98 at 2,000 vectors of 64 dimensions, 0.96 at 10,000 and 0.997 at 51,000, and
 tests ask for 0.9. Segments of up to LEAST rows are searched exactly.
 
 Vectors that are null, zero or of another length than most (of equally frequent lengths the longer), or that hold null or non-finite components, and rows
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.common import materialize, released, ship
 
-PIVOTS, NEAREST, SEGMENT, QUERIES = 512, 64, 1 << 14, 4096
+PIVOTS, NEAREST, SEGMENT, QUERIES = 512, 96, 1 << 14, 4096
 SHARE, LEAST = 0.1, 256
 #: Vectors whose distances to the pivots are computed at once.
 TOGETHER = 1024
