@@ -135,6 +135,10 @@ def _round(names: tuple[str, ...] | list[str], digits: int = 8) -> str:
     return ", ".join(f"round({n}, {digits}) + 0.0 AS {n}" for n in names)
 
 
+def _places(names: tuple[str, ...]) -> str:
+    return ", ".join(f"CASE WHEN abs({n}) < 10000 THEN round({n}, 6) ELSE round({n}, 2) END + 0.0 AS {n}" for n in names)
+
+
 _PANEL_DOUBLES = ["forward_return", "benchmark_return", "momentum_1h", "momentum_4h", "momentum_1d", *_STAGE2, "order_flow_imbalance", "regime_trend", "regime_volatility"]
 _QUALITY = f"""{_panel(HOUR)}, ts AS (SELECT decision_time_ms AS t, list_sort(list(DISTINCT asset)) AS assets, count(*) AS n FROM panel GROUP BY 1),
 gaps AS (SELECT *, (t - lag(t) OVER (ORDER BY t)) / 3600000.0 AS gap FROM ts),
@@ -199,8 +203,8 @@ SELECT {_iso('close_time_ms')} AS "timestamp", array_to_string(list_filter(a0, l
     "turnover_cost": f'WITH {_TRADED} SELECT model, fold, "timestamp", asset, turnover, {_round(["gross", "cost", "funding"])} FROM traded',
     "portfolio_returns": f'WITH {_RETURNS} SELECT model, fold, "timestamp", {_round(["gross", "cost", "turnover", "net"])}, transitions FROM pr',
     "drawdown": f'WITH {_summary("model, fold", "idx")} SELECT model, fold, "timestamp", round(equity, 7) AS equity, round(equity / (1 + drawdown), 7) AS peak, round(drawdown, 7) + 0.0 AS drawdown FROM dd',
-    "fold_summary": f"WITH {_summary('model, fold', 'idx')} SELECT model, fold, observations, position_transitions, {_round(_SUMS, 6)} FROM summ",
-    "overall_summary": f"WITH {_summary('model', 'fold, idx')}, {_SHARE} SELECT s.model, observations, position_transitions, {_round(_SUMS, 6)}, positive_folds, fold_count, round(positive_folds / fold_count, 6) AS positive_fold_fraction FROM summ s JOIN share USING (model)",
+    "fold_summary": f"WITH {_summary('model, fold', 'idx')} SELECT model, fold, observations, position_transitions, {_places(_SUMS)} FROM summ",
+    "overall_summary": f"WITH {_summary('model', 'fold, idx')}, {_SHARE} SELECT s.model, observations, position_transitions, {_places(_SUMS)}, positive_folds, fold_count, round(positive_folds / fold_count, 6) AS positive_fold_fraction FROM summ s JOIN share USING (model)",
     "candidate_screen": f"WITH {_summary('model', 'fold, idx')}, {_SHARE} SELECT s.model, positive_folds / fold_count >= 0.6 AND net_return > 0 AND simple_alpha > 0 AND coalesce(sharpe > 0, false) AS candidate_screen_pass FROM summ s JOIN share USING (model)",
     "cost_styles": """SELECT event_id, round(t * (4 + h + s) / 10000, 12) AS taker, round(t * (2 + h + s) / 10000, 12) AS maker FROM (SELECT event_id, event_id % 3 AS t,
 CASE WHEN event_id % 3 <> 0 THEN greatest(0.0, value / 100 - 1) / 2 ELSE 1.0 END AS h, CASE WHEN event_id % 5 <> 0 THEN greatest(0.0, value / 200 - 1) ELSE 2.0 END AS s FROM events)""",

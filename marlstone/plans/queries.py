@@ -85,6 +85,12 @@ def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     return df.select(*((F.round(F.col(f"`{n}`"), digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes))
 
 
+def summed_up(df: DataFrame) -> DataFrame:
+    """Doubles to 6 places, those of 10,000 or more to 2: engines multiply long series in different orders, which shows in the last bits."""
+    places = lambda c: F.when(F.abs(c) < 10_000, F.round(c, 6)).otherwise(F.round(c, 2)) + F.lit(0.0)
+    return df.select(*(places(F.col(n)).alias(n) if t == "double" else F.col(n) for n, t in df.dtypes))
+
+
 def _features(spark: SparkSession, sf: str) -> DataFrame:
     return W.bar_features(bars(spark, sf))
 
@@ -247,11 +253,11 @@ _SUMMARY = ("observations", "gross_return", "net_return", "benchmark_return", "s
 
 
 def fold_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(E.summarize(_returns(spark, sf), ["model", "fold"], ["idx"], PROTOCOL.annualization).select("model", "fold", *_SUMMARY), 6)
+    return summed_up(E.summarize(_returns(spark, sf), ["model", "fold"], ["idx"], PROTOCOL.annualization).select("model", "fold", *_SUMMARY))
 
 
 def overall_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(E.overall_summary(_returns(spark, sf), PROTOCOL.annualization).select("model", *_SUMMARY, "positive_folds", "fold_count", "positive_fold_fraction"), 6)
+    return summed_up(E.overall_summary(_returns(spark, sf), PROTOCOL.annualization).select("model", *_SUMMARY, "positive_folds", "fold_count", "positive_fold_fraction"))
 
 
 def candidate_screen(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +25,9 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(os.path.join(d, n), os.path.join("marlstone", os.path.relpath(os.path.join(d, n), root)))
     sc.addPyFile(path)
     sc._marlstone_shipped = True
+
+
+def ship_by_value(module: str) -> None:
+    """From now on this module's classes and functions go to Python processes as they are, and not as names to import: those that Spark starts on the driver for
+    streams don't see the files that executors get."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -11,6 +11,8 @@ from urllib.parse import urlencode, urlsplit, urlunsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from marlstone.shipping import ship_by_value
+
 #: Hosts that may be read, base addresses and endpoint paths.
 SPOT_BASE = "https://api.binance.com"
 COINM_BASE = "https://dapi.binance.com"
@@ -179,6 +181,8 @@ def provider(fetch: Fetcher = urlopen_fetcher) -> type[DataSource]:
     ``spark.read.format("market_http").option("endpoint", name).option("requests", json_list).load()``: one partition per request. As a stream,
     ``spark.readStream.format("market_http").option("request", json).option("pagesPerBatch", n).load()``: asset_metrics page by page."""
 
+    ship_by_value(__name__)
+
     class MarketHttp(DataSource):
         @classmethod
         def name(cls) -> str:

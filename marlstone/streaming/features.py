@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from marlstone.operators.joins import keep_last
-from marlstone.shipping import ship_package
+from marlstone.shipping import ship_by_value, ship_package
 
 #: Bars before one that its features depend on: 167 of the z-score and 24 of the longest return.
 CONTEXT = 191
@@ -138,6 +138,7 @@ def stream_features(bars: DataFrame, revisable: int = 168, order: str | None = N
     store, which this sets for the session."""
     spark = bars.sparkSession
     ship_package(spark)
+    ship_by_value(__name__)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     oi = F.col("oi").cast("double") if "oi" in bars.columns else F.lit(None).cast("double")
     place = F.col(order) if order else F.xxhash64(*INPUT[1:4], oi)
