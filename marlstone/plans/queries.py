@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import values as V
@@ -56,9 +56,9 @@ def derivative_bars(spark: SparkSession, sf: str, step: int = HOUR) -> DataFrame
     return bars_from(e, step)
 
 
-def metrics(spark: SparkSession, sf: str) -> DataFrame:
+def metrics(spark: SparkSession, sf: str, *more: Column) -> DataFrame:
     e = _events(spark, sf).where("event_type = 'view'")
-    return e.select(F.lit(DERIVATIVE).alias("symbol"), F.col("ms").alias("timestamp_ms"), (F.col("value") / 100).alias("taker_long_short_ratio"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("sum_open_interest_value"))
+    return e.select(F.lit(DERIVATIVE).alias("symbol"), F.col("ms").alias("timestamp_ms"), (F.col("value") / 100).alias("taker_long_short_ratio"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("sum_open_interest_value"), *more)
 
 
 def onchain(spark: SparkSession, sf: str) -> DataFrame:
@@ -359,6 +359,12 @@ def source_pruned_bars(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found.select(*_LOADED))
 
 
+def _metrics_archive(spark: SparkSession, sf: str) -> str:
+    """Metrics as a vendor's daily files. Of events in one millisecond that of the smallest id counts, as for SQL that reads the table in order; so it is written last."""
+    rows = metrics(spark, sf, F.bitwise_not(F.col("event_id").cast("long")).alias("falling_id"))
+    return vendor.write_metrics(rows.withColumn("symbol", F.upper("symbol")), new_path(spark, "metrics"), ["falling_id"])
+
+
 def source_pruned_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Metrics from a day on."""
     root = vendor.write_metrics(metrics(spark, sf).withColumn("symbol", F.upper("symbol")), new_path(spark, "metrics"))
@@ -372,7 +378,7 @@ def source_derivative_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    root = vendor.write_metrics(metrics(spark, sf).withColumn("symbol", F.upper("symbol")), new_path(spark, "metrics"))
+    root = _metrics_archive(spark, sf)
     return rounded(files.load_derivative_metrics(spark, root).select("symbol", "timestamp_ms", "taker_long_short_ratio", "sum_open_interest_value"))
 
 

@@ -5,6 +5,8 @@ Spark writes a folder per symbol and day; the files in it are then given their n
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +41,15 @@ def write_klines(bars: DataFrame, root: str, pattern: str) -> str:
     return _named(bars.select("symbol", _day(F.col("open_time_ms")).alias("day"), F.col("open_time_ms").alias("at"), line.alias("line")), root, pattern)
 
 
-def write_metrics(metrics: DataFrame, root: str) -> str:
-    """Metric rows under a header; a time has whole seconds, and of a second's rows the last counts when they are loaded."""
+def write_metrics(metrics: DataFrame, root: str, tie: Sequence[str] = ()) -> str:
+    """Metric rows under a header; a time has whole seconds, and of a second's rows the last counts when they are loaded. tie: columns that order the
+    rows of one timestamp_ms; without them any may come last."""
     have = {v: F.coalesce(F.col(v).cast("string"), F.lit("")) if v in metrics.columns else F.lit("") for v in METRIC_COLUMNS.values()}
     stamp = F.date_format(F.timestamp_millis(F.col("timestamp_ms")), "yyyy-MM-dd HH:mm:ss")
-    rows = metrics.select("symbol", _day(F.col("timestamp_ms")).alias("day"), F.col("timestamp_ms").alias("at"), F.concat_ws(",", stamp, *have.values()).alias("line"))
-    heads = rows.select("symbol", "day").distinct().select("symbol", "day", F.lit(-1).cast("long").alias("at"), F.lit(",".join(["create_time", *METRIC_COLUMNS])).alias("line"))
+    at = F.struct("timestamp_ms", *tie)
+    rows = metrics.select("symbol", _day(F.col("timestamp_ms")).alias("day"), at.alias("at"), F.concat_ws(",", stamp, *have.values()).alias("line"))
+    first = F.struct(F.lit(-1).cast("long").alias("timestamp_ms"), *(F.lit(None).cast(metrics.schema[c].dataType).alias(c) for c in tie))
+    heads = rows.select("symbol", "day").distinct().select("symbol", "day", first.alias("at"), F.lit(",".join(["create_time", *METRIC_COLUMNS])).alias("line"))
     return _named(rows.unionByName(heads), root, "coinm-metrics-{symbol}-{day}.csv")
 
 
