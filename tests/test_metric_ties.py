@@ -29,7 +29,7 @@ def table(tmp_path):
     return write
 
 
-@pytest.mark.parametrize("name, days", [("source_metrics", 4)])
+@pytest.mark.parametrize("name, days", [("source_metrics", 4), ("source_pruned_metrics", 2)])
 def test_tied_events(spark, table, name, days):
     by_id = table("by_id", "event_id")
     con = connect(by_id)
